@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import op3_suffix_dedup
+from . import op3_suffix_dedup, op7_debruijn_dedup, op9_toxicity, op10_minhash
 
 QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup.query,
+    "op7_debruijn_dedup": op7_debruijn_dedup.query,
+    "op9_toxicity": op9_toxicity.query,
+    "op10_minhash": op10_minhash.query,
 }
 ORACLES: dict[str, str] = {}
