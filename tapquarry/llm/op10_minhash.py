@@ -197,5 +197,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves
     return out.select(null_id(F.col("doc_id")).alias("doc_id"), "n_shingles", null_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, halves: int = 12) -> DataFrame:
+    """One document of each component, the one with the least doc_id; of rows that repeat a doc_id one stays."""
+    groups = near_duplicates(docs.select("doc_id", "text"), shingle, percent, halves)
+    kept = groups.where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept__")).distinct()
+    rows = docs.withColumn("kept__", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return rows.join(kept, "kept__", "left_semi").dropDuplicates(["kept__"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_links")

@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -325,29 +326,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(language, codes, w, b)
 
 
-def score_batches(batches, model):
+def score_batches(batches, model, at, drop):
+    """Adds scores of the texts in column `at`; leaves that column out if `drop`."""
     m = model.value
     channel, features = Channel(m.language), Features(m.codes)
     for batch in batches:
         out = np.zeros(batch.num_rows)
-        for lo, hi, data, offsets in restored_slabs(batch, batch.num_columns - 1, channel):
+        texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), "")], names=["text"])
+        for lo, hi, data, offsets in restored_slabs(texts, 0, channel):
             doc, index = features.present(data, offsets)
             total = m.bias + (np.bincount(doc, weights=m.weights[index], minlength=hi - lo) if len(doc) else np.zeros(hi - lo))
             out[lo:hi] = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
-        columns = batch.columns[:-1] + [pa.array(out)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score"])
+        keep = [i for i in range(batch.num_columns) if not (drop and i == at)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out)], names=[*(batch.schema.names[i] for i in keep), "score__"])
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs and `score`."""
+    """The columns `keep` of docs and `score__`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    part = docs.select(*keep, sql_text().alias("text__"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema[:-1]) + ", score double"
-    return part.mapInArrow(lambda it: score_batches(it, shared), fields)
+    drop = "text" not in keep
+    part = docs.select(*keep, *(["text"] if drop else [])).withColumn("text", F.col("text").cast("string"))
+    at = part.columns.index("text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keep) + ", score__ double"
+    return part.mapInArrow(lambda it: score_batches(it, shared, at, drop), fields)
+
+
+def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose texts score below the threshold, with their columns."""
+    return scored(docs, model, docs.columns).where(F.col("score__") < threshold).drop("score__")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    out = scored(docs, model)
+    out = scored(docs, model).withColumnRenamed("score__", "score")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
