@@ -5,7 +5,8 @@ ordered first, by recursion on the string of its substrings' names. Two scans th
 of all other suffixes: each scanned suffix hands its predecessor to a priority queue under the
 predecessor's first symbol. Tuples in the queue carry the common-prefix length with the tuple before
 them, one more than the least along the scan in between. Queues keep their larger sorted runs in
-files, and the scan takes as many symbols at once as do not feed each other.
+files, and the scan takes as many symbols at once as do not feed each other. The recursion ends at strings
+that fit in memory (BASE), which rank doubling orders.
 """
 
 from __future__ import annotations
@@ -226,6 +227,67 @@ def types(t):
     return up[end], np.minimum(end - np.arange(n) + 1, 255).astype(np.uint8)
 
 
+#: A reduced string of up to so many symbols is ordered in memory instead of by a further recursion.
+BASE = 1 << 19
+
+
+def packed(t, pos, stop, top):
+    """Some symbols from each pos on as one word, those from stop on as `top`; and how many."""
+    bits = int(top).bit_length()
+    each = 64 // bits
+    word = np.zeros(len(pos), U64)
+    for i in range(each):
+        at = np.minimum(pos + i, len(t) - 1)
+        word = (word << U64(bits)) | np.where(pos + i < stop, t[at], top).astype(U64)
+    return word, each
+
+
+def refined(order, new, key):
+    """Ties (elements of order after the first of their group, by `new`) ordered anew by key(elements)."""
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    at = np.flatnonzero(tied)
+    items, group = order[at], np.cumsum(new)[at]
+    k = key(items)
+    rank = np.lexsort((k, group))
+    order[at] = items[rank]
+    k, first = k[rank], new[at]
+    first[1:] |= k[1:] != k[:-1]
+    new[at] = first
+    return at
+
+
+def named(t, lms):
+    """Order of the substrings between LMS positions, and their names by rank; one that ends where another goes on is the greater."""
+    stop = np.append(lms[1:] + 1, len(t))
+    top = int(t.max()) + 1
+    word, each = packed(t, lms, stop, top)
+    order = np.argsort(word, kind="stable")
+    new = np.concatenate([[True], word[order][1:] != word[order][:-1]])
+    size = stop - lms
+    for depth in range(each, int(size.max()), each):
+        if not (~new & (size[order] > depth)).any():
+            break
+        refined(order, new, lambda i, depth=depth: packed(t, lms[i] + depth, stop[i], top)[0])
+    return order, np.cumsum(new) - 1
+
+
+def sort_in_memory(t):
+    """Suffixes of t in order by doubling ranks, only where they still tie."""
+    n = len(t)
+    word, width = packed(t + 1, np.arange(n), np.full(n, n), 0 if n == 0 else int(t.max()) + 2)
+    order = np.argsort(word, kind="stable")
+    new = np.concatenate([[True], word[order][1:] != word[order][:-1]])
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    while not new.all():
+        at = refined(order, new, lambda i, width=width: rank[np.minimum(i + width, n)])
+        rank[order[at]] = np.maximum.accumulate(np.where(new, np.arange(n), 0))[at]
+        width *= 2
+    return order
+
+
 def sort_suffixes(t: np.ndarray, cap: int = 0, folder: str | None = None):
     """Suffixes of t in order, and each one's common prefix with the one before, at most `cap` (under 254).
 
@@ -237,27 +299,16 @@ def sort_suffixes(t: np.ndarray, cap: int = 0, folder: str | None = None):
     is_s, run = types(t)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     m = len(lms)
-    rolling = Rolling(mix(t.astype(U64) + U64(1)))
-    none = np.zeros(m, np.uint8)
-    # Substrings between LMS positions get names: two scans order them, and equal neighbours share a name.
-    first = lms[np.argsort(t[lms], kind="stable")]
-    pos, _ = induce(t, is_s, first, none, run, 0, folder)
-    rank = np.full(n, -1, np.int64)
-    rank[lms] = np.arange(m)
-    pos = pos[rank[pos] >= 0]
-    index = rank[pos]
-    stop = np.minimum(np.append(lms[1:], n - 1), n - 1)[index] + 1
-    stop[pos == n - 1] = n
-    code, size = rolling.spans(pos, stop), stop - pos
-    name = np.cumsum(np.concatenate([[0], (code[1:] != code[:-1]) | (size[1:] != size[:-1])]))
+    index, name = named(t, lms)
+    pos = lms[index]
     reduced = np.empty(m, np.int64)
     reduced[index] = name
     if name[-1] + 1 < m:
-        pos = lms[sort_suffixes(reduced, 0, folder)[0]]
-    q = none
+        pos = lms[sort_in_memory(reduced) if m <= BASE else sort_suffixes(reduced, 0, folder)[0]]
+    q = np.zeros(m, np.uint8)
     if cap and m > 1:
         # common prefixes of neighbouring LMS suffixes, by halving over hashes of whole symbols
-        a, b = pos[:-1], pos[1:]
+        a, b, rolling = pos[:-1], pos[1:], Rolling(mix(t.astype(U64) + U64(1)))
         lo, room = np.zeros(m - 1, np.int64), np.minimum(n - np.maximum(a, b), cap)
         hi = room.copy()
         while (lo < hi).any():

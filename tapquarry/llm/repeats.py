@@ -31,10 +31,11 @@ CHUNK_BITS = 8
 POSITION_BITS = 20
 #: Contents of one anchor in one task from which the anchor is hot.
 HOT = 64
+BYTE_IN_WORD = ~SPACE
 #: Entries that a task gathers before it sends them.
 FLUSH = 1_000_000
 SLAB = 1 << 20
-ENTRY = ("u8", "u8", "i8", "i8", "u4", "u1")  # anchor, content, chunk, doc, position, flags
+ENTRY = ("u8", "u8", "i8", "u4", "u1")  # anchor, content, doc, position, flags
 REPEATED, MARK, SALTED = 1, 2, 4
 ANSWER = ("u8", "u1")
 FIRST, SEVERAL, IS_HOT = 1, 2, 4
@@ -163,8 +164,8 @@ def send_contexts(batches, units, length, k, buckets):
         flags = np.where(count > 1, REPEATED, 0).astype(np.uint8) | np.where(hot[new], SALTED, 0).astype(np.uint8)
         mark = np.flatnonzero(new_a & hot)
         z = np.zeros(len(mark), np.int64)
-        columns = [np.concatenate(x) for x in ((ah[new], ah[mark]), (ch[new], z.astype(U64)), (chunk[new], z), (doc[new], z), (pos[new], z), (flags, np.full(len(mark), MARK, np.uint8)))]
-        to = to_bucket(np.where(columns[5] & SALTED, columns[0] ^ mix(columns[1]), columns[0]), buckets)
+        columns = [np.concatenate(x) for x in ((ah[new], ah[mark]), (ch[new], z.astype(U64)), (doc[new], z), (pos[new], z), (flags, np.full(len(mark), MARK, np.uint8)))]
+        to = to_bucket(np.where(columns[4] & SALTED, columns[0] ^ mix(columns[1]), columns[0]), buckets)
         return by_bucket(to, columns, ENTRY)
 
     def made():
@@ -203,14 +204,14 @@ def groups(batches):
 def answer(batches):
     def made():
         for _, blobs in groups(batches):
-            ah, ch, chunk, doc, pos, flags = unpack_all(blobs, ENTRY)
+            ah, ch, doc, pos, flags = unpack_all(blobs, ENTRY)
             order = np.lexsort((pos, doc, ch, ah))
-            ah, ch, chunk, doc, pos, flags = (x[order] for x in (ah, ch, chunk, doc, pos, flags))
+            ah, ch, doc, pos, flags = (x[order] for x in (ah, ch, doc, pos, flags))
             new_a = np.concatenate([[True], ah[1:] != ah[:-1]])
             of_a = np.cumsum(new_a) - 1
             hot = (np.bincount(of_a, weights=(flags & (MARK | SALTED)) > 0) > 0)[of_a]
             real = (flags & MARK) == 0
-            ah, ch, chunk, doc, pos, flags, hot, of_a = (x[real] for x in (ah, ch, chunk, doc, pos, flags, hot, of_a))
+            ah, ch, doc, pos, flags, hot, of_a = (x[real] for x in (ah, ch, doc, pos, flags, hot, of_a))
             if not len(ah):
                 continue
             new_a = np.concatenate([[True], of_a[1:] != of_a[:-1]])
@@ -224,7 +225,7 @@ def answer(batches):
             again = np.bincount(of_c, weights=1 + ((flags & REPEATED) > 0))[of_c] > 1
             need = several | again
             out = np.where(first, FIRST, 0) | np.where(several, SEVERAL, 0) | np.where(hot, IS_HOT, 0)
-            yield from by_bucket(chunk[need], [(ah ^ mix(ch))[need], out[need]], ANSWER)
+            yield from by_bucket(doc[need] >> CHUNK_BITS, [(ah ^ mix(ch))[need], out[need]], ANSWER)
 
     return rows(KEYED, made())
 
