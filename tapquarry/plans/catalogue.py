@@ -1,4 +1,442 @@
 """Queries over the driver's tables, by name, and their DuckDB counterparts."""
 
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tapquarry.functions import expressions as X
+from tapquarry.operators import decode, discovery, evidence, manifest, preflight
+from tapquarry.operators.manifest import Edge, Manifest
+from tapquarry.plans import attribution as A
+from tapquarry.sources import events, pcap, store
+
+M = events.MANIFEST
+CAP, SMALL_CAP, BEFORE = A.CAP, 64, 8
+TRIP_COLUMNS = ["capture_id", "trip_seq", "trip_ts"]
+RANGE = (1_704_500_000_000_000, 1_705_500_000_000_000)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = COMMON + oracle
+        return f
+
+    return add
+
+
+def trans(spark: SparkSession, d: str, per_user: bool = False) -> DataFrame:
+    return A.transitions(events.classified(spark, d, per_user))
+
+
+def evaluated(spark: SparkSession, d: str, cap: int = CAP):
+    t = trans(spark, d)
+    found = A.trips(t, M.trip_node)
+    return t, found, A.candidates(t, found, M, cap, monotone=True)  # ts grows with event_id
+
+
+def streams(spark: SparkSession, d: str) -> DataFrame:
+    return events.classified(spark, d).select("node", "frame_no", F.col("ts").alias("tap_ts_ns"))
+
+
+def asof(alias: str, node: int, before: str, ok: str = "true") -> str:
+    return f"ASOF LEFT JOIN (SELECT seq, ts FROM tr WHERE node = {node}) {alias} ON {before} > {alias}.ts"
+
+
+def chain(cap: int) -> str:
+    """The walk over the events' DAG: one as-of per edge; o is the order of discovery."""
+    def valid(a, c):
+        return f"CASE WHEN {a}.seq > trip_seq - {cap} THEN {a}.{c} END"
+
+    return f""", h1 AS (SELECT trips.*, {valid('a', 'seq')} AS s4, {valid('a', 'ts')} AS t4, {valid('b', 'seq')} AS s2, {valid('b', 'ts')} AS t2
+  FROM trips {asof('a', 4, 'trips.trip_ts')} {asof('b', 2, 'trips.trip_ts')}),
+h2 AS (SELECT h1.*, {valid('a', 'seq')} AS s1, {valid('a', 'ts')} AS t1, {valid('b', 'seq')} AS s24, {valid('b', 'ts')} AS t24, {valid('c', 'seq')} AS s3, {valid('c', 'ts')} AS t3
+  FROM h1 {asof('a', 1, 'h1.t2')} {asof('b', 2, 'h1.t4')} {asof('c', 3, 'h1.t4')}),
+h3 AS (SELECT h2.*, {valid('a', 'seq')} AS s13, {valid('a', 'ts')} AS t13 FROM h2 {asof('a', 1, 'h2.t3')}),
+flat AS (
+  SELECT capture_id, trip_seq, trip_ts, 0 AS o, 4 AS edge_from, 5 AS edge_to, trip_ts - t4 AS dt, 900000000 AS w, s4 AS trigger_seq, trip_seq AS effect_seq, t4 AS trigger_ts FROM h3 UNION ALL
+  SELECT capture_id, trip_seq, trip_ts, 1, 2, 5, trip_ts - t2, 1000000000, s2, trip_seq, t2 FROM h3 UNION ALL
+  SELECT capture_id, trip_seq, trip_ts, 2, 1, 2, t2 - t1, 700000000, s1, s2, t1 FROM h3 UNION ALL
+  SELECT capture_id, trip_seq, trip_ts, 3, 2, 4, t4 - t24, 800000000, s24, s4, t24 FROM h3 UNION ALL
+  SELECT capture_id, trip_seq, trip_ts, 4, 3, 4, t4 - t3, 600000000, s3, s4, t3 FROM h3 UNION ALL
+  SELECT capture_id, trip_seq, trip_ts, 5, 1, 3, t3 - t13, 900000000, s13, s3, t13 FROM h3),
+cand AS (SELECT capture_id, trip_seq, trip_ts, o, edge_from::BIGINT AS edge_from, edge_to::BIGINT AS edge_to, dt AS observed_dt_ns, w::BIGINT AS wcet_ns,
+  (dt::DOUBLE - w::DOUBLE) / w::DOUBLE AS normalized_overrun, trigger_seq, effect_seq, trigger_ts FROM flat WHERE trigger_seq IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id, trip_seq ORDER BY normalized_overrun DESC, o)::INT AS rank FROM cand WHERE observed_dt_ns > wcet_ns),
+rooted AS (SELECT trips.*, r.* EXCLUDE (capture_id, trip_seq, trip_ts, o, rank) FROM trips LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r USING (capture_id, trip_seq))"""
+
+
+COMMON = """WITH RECURSIVE base AS (SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+  (CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 WHEN 'error' THEN 5 END)::BIGINT AS node FROM events),
+tr AS (SELECT 0::BIGINT AS capture_id, event_id AS frame_no, node, ts, CASE WHEN node = 5 THEN k % 2 = 1 END AS level, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM base WHERE node IS NOT NULL),
+tru AS (SELECT user_id AS capture_id, event_id AS frame_no, node, ts, CASE WHEN node = 5 THEN k % 2 = 1 END AS level, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM base WHERE node IS NOT NULL),
+trips AS (SELECT capture_id, seq AS trip_seq, ts AS trip_ts FROM (SELECT *, lag(level) OVER (PARTITION BY capture_id ORDER BY seq) AS was FROM tr WHERE node = 5) WHERE was AND NOT level),
+tripsu AS (SELECT capture_id, seq AS trip_seq, ts AS trip_ts FROM (SELECT *, lag(level) OVER (PARTITION BY capture_id ORDER BY seq) AS was FROM tru WHERE node = 5) WHERE was AND NOT level),
+gaps AS (SELECT node, frame_no, ts AS tap_ts_ns, greatest(0, ts - lag(ts) OVER (PARTITION BY node ORDER BY frame_no)) AS gap0, lag(ts) OVER (PARTITION BY node ORDER BY frame_no) AS was FROM tr),
+g AS (SELECT node, frame_no, tap_ts_ns, CASE WHEN was IS NOT NULL THEN gap0 END AS gap_ns FROM gaps),
+stats AS (SELECT node, count(*) AS frames, count(gap_ns) AS gap_count, coalesce(min(gap_ns), 0) AS gap_min, coalesce(max(gap_ns), 0) AS gap_max,
+  coalesce(sum(gap_ns)::HUGEINT // nullif(count(gap_ns), 0), 0)::BIGINT AS gap_mean FROM g GROUP BY node),
+bits AS (SELECT node, gap_ns, length(bin(gap_ns)) - 1 AS band FROM g WHERE gap_ns IS NOT NULL),
+bk AS (SELECT node, CASE WHEN gap_ns = 0 THEN 0 ELSE band * 8 + CASE WHEN band >= 3 THEN (gap_ns - (1::BIGINT << band)) >> (band - 3) ELSE ((gap_ns - (1::BIGINT << band)) * 8) >> band END END::INT AS bucket FROM bits),
+bc AS (SELECT node, bucket, count(*) AS n, CASE WHEN bucket = 0 THEN 0 ELSE (1::BIGINT << (bucket // 8)) + (((bucket % 8)::BIGINT << (bucket // 8)) >> 3) END AS bucket_lo FROM bk GROUP BY node, bucket),
+cum AS (SELECT bc.*, sum(n) OVER (PARTITION BY node ORDER BY bucket) AS c, gap_count, gap_min, gap_max FROM bc JOIN stats USING (node)),
+quant AS (SELECT node, """ + ", ".join(f"CASE WHEN any_value(gap_count) >= 30 THEN least(greatest(min(CASE WHEN c >= greatest(1, least(ceil({q}::DOUBLE * gap_count), gap_count)) THEN bucket_lo END), any_value(gap_min)), any_value(gap_max)) END AS {n}" for n, q in discovery.QUANTILES.items()) + """ FROM cum GROUP BY node)"""
+
+
+@query("state_transitions", " SELECT capture_id, frame_no, node, ts, level, seq FROM tr")
+def state_transitions(spark, d):
+    return trans(spark, d)
+
+
+@query("node_counts", " SELECT node, count(*) AS n FROM tr GROUP BY node")
+def node_counts(spark, d):
+    return events.classified(spark, d).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("trip_detection", " SELECT * FROM trips")
+def trip_detection(spark, d):
+    return A.trips(trans(spark, d), M.trip_node)
+
+
+@query("trip_detection_by_capture", " SELECT * FROM tripsu")
+def trip_detection_by_capture(spark, d):
+    return A.trips(trans(spark, d, True), M.trip_node)
+
+
+EDGE_ROWS = ", e AS (" + " UNION ALL ".join(f"SELECT {i}::INT AS edge_idx, t.seq AS effect_seq, f.seq AS trigger_seq, t.ts - f.ts AS observed_dt_ns, {w}::BIGINT AS wcet_ns FROM (SELECT * FROM tr WHERE node = {b}) t ASOF JOIN (SELECT seq, ts FROM tr WHERE node = {a}) f ON t.ts > f.ts" for i, (a, b, w) in enumerate(events.EDGES)) + ")"
+
+
+def edge_rows(spark, d) -> DataFrame:
+    t = A.with_triggers(trans(spark, d), sorted({e.source for e in M.edges}))
+    each = F.array(*[F.when((F.col("node") == e.target) & F.col(f"trig_{e.source}").isNotNull(), F.struct(F.lit(i).alias("edge_idx"), F.col(f"trig_{e.source}.seq").alias("trigger_seq"), A.saturating(F.col("ts"), F.col(f"trig_{e.source}.ts")).alias("observed_dt_ns"), F.lit(e.budget_ns).cast("long").alias("wcet_ns"))) for i, e in enumerate(M.edges)])
+    return t.select(F.col("seq").alias("effect_seq"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("effect_seq", "x.*")
+
+
+@query("edge_instances", EDGE_ROWS + " SELECT * FROM e")
+def edge_instances(spark, d):
+    return edge_rows(spark, d)
+
+
+@query("edge_violations", EDGE_ROWS + " SELECT *, (observed_dt_ns::DOUBLE - wcet_ns::DOUBLE) / wcet_ns::DOUBLE AS normalized_overrun FROM e WHERE observed_dt_ns > wcet_ns")
+def edge_violations(spark, d):
+    over = (F.col("observed_dt_ns").cast("double") - F.col("wcet_ns").cast("double")) / F.col("wcet_ns").cast("double")
+    return edge_rows(spark, d).where("observed_dt_ns > wcet_ns").withColumn("normalized_overrun", over)
+
+
+@query("edge_violation_summary", EDGE_ROWS + " SELECT edge_idx, count(*) AS n, count_if(observed_dt_ns > wcet_ns) AS violations, max(observed_dt_ns) AS worst_dt_ns FROM e GROUP BY edge_idx")
+def edge_violation_summary(spark, d):
+    return edge_rows(spark, d).groupBy("edge_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("observed_dt_ns") > F.col("wcet_ns")).alias("violations"), F.max("observed_dt_ns").alias("worst_dt_ns"))
+
+
+CANDIDATE = "capture_id, trip_seq, trip_ts, edge_from, edge_to, observed_dt_ns, wcet_ns, normalized_overrun, trigger_seq, effect_seq, trigger_ts"
+
+
+@query("trip_candidates", chain(CAP) + f" SELECT {CANDIDATE} FROM cand")
+def trip_candidates(spark, d):
+    return evaluated(spark, d)[2].select(*CANDIDATE.split(", "))
+
+
+@query("trip_catalysts", chain(CAP) + f" SELECT {CANDIDATE} FROM cand WHERE observed_dt_ns > wcet_ns")
+def trip_catalysts(spark, d):
+    return evaluated(spark, d)[2].where("observed_dt_ns > wcet_ns").select(*CANDIDATE.split(", "))
+
+
+@query("trip_catalysts_ranked", chain(CAP) + f" SELECT {CANDIDATE}, rank FROM ranked")
+def trip_catalysts_ranked(spark, d):
+    return A.catalysts(evaluated(spark, d)[2])
+
+
+@query("trip_catalysts_ring64", chain(SMALL_CAP) + f" SELECT {CANDIDATE}, rank FROM ranked")
+def trip_catalysts_ring64(spark, d):
+    return A.catalysts(evaluated(spark, d, SMALL_CAP)[2])
+
+
+@query("trip_catalysts_ring64_exact", chain(SMALL_CAP) + f" SELECT {CANDIDATE}, rank FROM ranked")
+def trip_catalysts_ring64_exact(spark, d):
+    """The same over ring arrays, the way for captures whose time runs backward."""
+    t = trans(spark, d)
+    return A.catalysts(A.candidates(t, A.trips(t, M.trip_node), M, SMALL_CAP, monotone=False))
+
+
+def rooted(spark, d) -> DataFrame:
+    _, found, c = evaluated(spark, d)
+    return A.roots(found, A.catalysts(c))
+
+
+@query("root_catalyst", chain(CAP) + " SELECT * FROM rooted")
+def root_catalyst(spark, d):
+    return rooted(spark, d)
+
+
+@query("attribution_summary", chain(CAP) + " SELECT (SELECT count(*) FROM events) AS frames, (SELECT count(*) FROM tr) AS parsed, (SELECT count(*) FROM events) - (SELECT count(*) FROM tr) AS dropped, count(*) AS trips, count(edge_from) AS attributed, count(*) AS rows_written FROM rooted")
+def attribution_summary(spark, d):
+    r = rooted(spark, d).agg(F.count(F.lit(1)).alias("trips"), F.count("edge_from").alias("attributed"), F.count(F.lit(1)).alias("rows_written"))
+    frames = events.read(spark, d).agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("event_type").isin(*events.NODES)).alias("parsed"))
+    return frames.withColumn("dropped", F.col("frames") - F.col("parsed")).crossJoin(r)  # one row each
+
+
+TRACE = f"'{evidence.APPLIANCE}:' || trip_ts || ':' || trip_seq"
+RESPONSE = "CASE WHEN edge_from IS NULL THEN 0 ELSE greatest(0, trip_ts - trigger_ts) END"
+WITHIN = f"edge_from IS NOT NULL AND {RESPONSE} <= {evidence.RESPONSE_BUDGET_NS}"
+FLAT = f"SELECT {TRACE} AS trace_id, capture_id, trip_ts, trip_seq, CASE WHEN edge_from IS NULL THEN 'unattributed' ELSE 'attributable' END AS finding, edge_from AS root_from, edge_to AS root_to, normalized_overrun AS root_overrun, {RESPONSE} AS response_time_ns, {WITHIN} AS within_budget FROM rooted"
+
+
+@query("trace_rows", chain(CAP) + f" {FLAT}")
+def trace_rows(spark, d):
+    return evidence.rows(rooted(spark, d))
+
+
+@query("evidence_documents")
+def evidence_documents(spark, d):
+    t, found, c = evaluated(spark, d)
+    return evidence.documents(found, A.catalysts(c), t)
+
+
+@query("safety_response", chain(CAP) + f" SELECT capture_id, trip_seq, {RESPONSE} AS response_time_ns, {WITHIN} AS within_budget FROM rooted")
+def safety_response(spark, d):
+    return evidence.response(rooted(spark, d)).select("capture_id", "trip_seq", "response_time_ns", "within_budget")
+
+
+@query("preceding_events", f" SELECT trips.capture_id, trip_seq, seq, node, ts, ts - trip_ts AS offset_ns, level FROM trips JOIN tr ON seq <= trip_seq AND seq > trip_seq - {BEFORE}")
+def preceding_events(spark, d):
+    t = trans(spark, d)
+    return evidence.preceding(t, A.trips(t, M.trip_node), BEFORE)
+
+
+@query("interarrival_gaps", " SELECT * FROM g")
+def interarrival_gaps(spark, d):
+    return discovery.gaps(streams(spark, d), ["node"])
+
+
+@query("interarrival_stats", " SELECT * FROM stats")
+def interarrival_stats(spark, d):
+    return discovery.gap_stats(discovery.gaps(streams(spark, d), ["node"]), ["node"])
+
+
+@query("loghist_buckets", " SELECT node, bucket, bucket_lo, n FROM bc")
+def loghist_buckets(spark, d):
+    return discovery.buckets(discovery.gaps(streams(spark, d), ["node"]), ["node"])
+
+
+@query("loghist_quantiles", " SELECT * FROM quant")
+def loghist_quantiles(spark, d):
+    return discovery.quantiles(discovery.gaps(streams(spark, d), ["node"]), ["node"])
+
+
+@query("stream_profile", " SELECT * FROM stats JOIN quant USING (node) ORDER BY node")
+def stream_profile(spark, d):
+    g = discovery.gaps(streams(spark, d), ["node"])
+    return discovery.gap_stats(g, ["node"]).join(discovery.quantiles(g, ["node"]), "node").orderBy("node")
+
+
+@query("toggle_bits", " SELECT node, 0 AS byte_index, b::INT AS bit_index FROM (SELECT node, xor(bit_or(k), bit_and(k)) AS mask FROM base WHERE node IS NOT NULL GROUP BY node), (SELECT unnest(generate_series(0, 7)) AS b) WHERE (mask >> b) & 1 = 1")
+def toggle_bits(spark, d):
+    e = events.read(spark, d).where(F.col("event_type").isin(*events.NODES))
+    node = F.element_at(F.create_map(*[F.lit(x) for kv in events.NODES.items() for x in kv]), F.col("event_type")).cast("long")
+    rows = e.select(node.alias("node"), F.col("event_id").alias("frame_no"), F.unhex(F.lpad(F.hex(F.col("k").cast("long")), 2, "0")).alias("payload"))
+    return discovery.toggles(rows, ["node"])
+
+
+def whole(spark, d) -> DataFrame:
+    return preflight.span_and_gap(events.read(spark, d).withColumn("capture_id", F.lit(0)), ["capture_id"], "event_id", "ts")
+
+
+@query("capture_span", " SELECT greatest(0, arg_max(ts, event_id) - arg_min(ts, event_id)) AS span_ns FROM base")
+def capture_span(spark, d):
+    return whole(spark, d).select("span_ns")
+
+
+@query("min_forward_gap", " SELECT min(CASE WHEN ts > was THEN ts - was END) AS min_forward_gap_ns FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS was FROM base)")
+def min_forward_gap(spark, d):
+    return whole(spark, d).select("min_forward_gap_ns")
+
+
+def coverage(spark, d) -> DataFrame:
+    e = events.read(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") != "signup").alias("classifiable"), F.count_if(F.col("event_type") == "signup").alias("unclassified"))
+    return e.withColumn("unclassified_fraction", preflight.unclassified_fraction(F.col("unclassified"), F.col("total")))
+
+
+TALLY = ", cov AS (SELECT count(*) AS total, count_if(event_type != 'signup') AS classifiable, count_if(event_type = 'signup') AS unclassified FROM base), frac AS (SELECT *, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE unclassified::DOUBLE / total::DOUBLE END AS unclassified_fraction FROM cov)"
+
+
+@query("coverage_tally", TALLY + " SELECT * FROM frac")
+def coverage_tally(spark, d):
+    return coverage(spark, d)
+
+
+@query("preflight_verdict", TALLY + " SELECT *, CASE WHEN total = 0 THEN 'rejected_empty' WHEN unclassified_fraction > 0.20::DOUBLE THEN 'coverage_gap' ELSE 'analyzable' END AS verdict FROM frac")
+def preflight_verdict(spark, d):
+    return coverage(spark, d).withColumn("verdict", preflight.verdict(F.col("total"), F.col("unclassified_fraction")))
+
+
+@query("rejected_types", " SELECT event_type, count(*) AS n FROM base WHERE event_type IN ('signup', 'click') GROUP BY event_type")
+def rejected_types(spark, d):
+    return events.read(spark, d).where("event_type in ('signup', 'click')").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("top_types", " SELECT event_type, count(*) AS n FROM base GROUP BY event_type ORDER BY n DESC, event_type LIMIT 12")
+def top_types(spark, d):
+    return events.read(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(preflight.TOP_TYPES)
+
+
+NODE_ROWS = [(1,), (2,), (3,), (7,)]
+EDGE_TABLE = [(0, 1, 2, 5_000), (1, 2, 3, 500), (2, 3, 9, 0), (3, 3, 1, 7_000), (4, 8, 2, 9_000)]
+TOPOLOGY = " , nodes(id) AS (VALUES (1::BIGINT), (2), (3), (7)), edges(edge_idx, source, target, budget_ns) AS (VALUES (0, 1::BIGINT, 2::BIGINT, 5000), (1, 2, 3, 500), (2, 3, 9, 0), (3, 3, 1, 7000), (4, 8, 2, 9000))"
+
+
+def topology(spark):
+    return spark.createDataFrame(NODE_ROWS, "id long"), spark.createDataFrame(EDGE_TABLE, "edge_idx int, source long, target long, budget_ns long")
+
+
+@query("manifest_dangling", TOPOLOGY + " SELECT edge_idx, source AS missing FROM edges WHERE source NOT IN (SELECT id FROM nodes) UNION ALL SELECT edge_idx, target FROM edges WHERE target NOT IN (SELECT id FROM nodes)")
+def manifest_dangling(spark, d):
+    return manifest.dangling(*topology(spark))
+
+
+@query("manifest_orphans", TOPOLOGY + " SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")
+def manifest_orphans(spark, d):
+    return manifest.orphans(*topology(spark))
+
+
+@query("manifest_degree", TOPOLOGY + " SELECT id, (SELECT count(*) FROM edges WHERE target = id) AS in_degree, (SELECT count(*) FROM edges WHERE source = id) AS out_degree FROM nodes")
+def manifest_degree(spark, d):
+    return manifest.degrees(*topology(spark))
+
+
+@query("manifest_budgets", TOPOLOGY + " SELECT edge_idx, CASE WHEN budget_ns <= 0 OR budget_ns > 60000000000 THEN 'bad_budget' WHEN budget_ns < 1000 THEN 'tight_budget' END AS finding FROM edges WHERE budget_ns <= 0 OR budget_ns > 60000000000 OR budget_ns < 1000")
+def manifest_budgets(spark, d):
+    b = F.col("budget_ns")
+    return topology(spark)[1].withColumn("finding", F.when((b <= 0) | (b > manifest.MAX_BUDGET_NS), "bad_budget").when(b < manifest.TIGHT_BUDGET_NS, "tight_budget")).where("finding is not null").select("edge_idx", "finding")
+
+
+@query("manifest_cycle_nodes", TOPOLOGY + ", reach(start, node) AS (SELECT source, target FROM edges UNION SELECT r.start, e.target FROM reach r JOIN edges e ON e.source = r.node) SELECT DISTINCT start AS id FROM reach WHERE start = node")
+def manifest_cycle_nodes(spark, d):
+    return manifest.cycle_members(topology(spark)[1])
+
+
+@query("manifest_validation")
+def manifest_validation(spark, d):
+    """The first failure of each of a few manifests."""
+    out = []
+    for name, edges in (("base", events.EDGES), ("loop", [*events.EDGES, (5, 1, 10_000)]), ("long", [(1, 2, 120_000_000_000)]), ("gap", [(1, 99, 10_000)])):
+        try:
+            manifest.validate(Manifest(M.nodes, tuple(Edge(*e) for e in edges), M.trip_node))
+            out.append((name, "valid"))
+        except manifest.ManifestError as e:
+            out.append((name, e.kind))
+    return spark.createDataFrame(out, "manifest string, outcome string")
+
+
+@query("evidence_range", chain(CAP) + f", rows_ AS ({FLAT}) SELECT * FROM rows_ WHERE trip_ts >= {RANGE[0]} AND trip_ts < {RANGE[1]}")
+def evidence_range(spark, d):
+    return evidence.rows(rooted(spark, d)).where((F.col("trip_ts") >= RANGE[0]) & (F.col("trip_ts") < RANGE[1])).orderBy(*store.KEY)
+
+
+@query("evidence_duplicates", chain(CAP) + f", rows_ AS ({FLAT}), twice AS (SELECT * FROM rows_ UNION ALL SELECT * FROM rows_ WHERE trip_seq % 2 = 0) SELECT trip_ts, trace_id, count(*) AS n FROM twice GROUP BY trip_ts, trace_id HAVING count(*) > 1")
+def evidence_duplicates(spark, d):
+    r = evidence.rows(rooted(spark, d))
+    return store.duplicates(r.unionByName(r.where("trip_seq % 2 = 0")))
+
+
+@query("evidence_keys", chain(CAP) + f" SELECT trip_seq, hex(trip_ts) AS ts_hex, upper(lpad(hex(trip_ts), 16, '0')) || upper(hex({TRACE})) AS key_hex FROM rooted")
+def evidence_keys(spark, d):
+    r = evidence.rows(rooted(spark, d))
+    return r.select("trip_seq", F.hex("trip_ts").alias("ts_hex"), F.hex(X.evidence_key(F.col("trip_ts"), F.col("trace_id"))).alias("key_hex"))
+
+
+@query("jitter_floor_flag", chain(CAP) + ", floors(ts_source, floor_ns) AS (VALUES ('hardware', 1000::BIGINT), ('kernel', 100000), ('replay', 0)) SELECT trip_seq, rank, ts_source, floor_ns, (observed_dt_ns - wcet_ns) > floor_ns AS above_floor FROM ranked, floors")
+def jitter_floor_flag(spark, d):
+    c = A.catalysts(evaluated(spark, d)[2]).withColumn("ts_source", F.explode(F.array(*[F.lit(s) for s in X.JITTER_FLOOR_NS])))
+    return c.withColumn("floor_ns", X.jitter_floor(F.col("ts_source"))).select("trip_seq", "rank", "ts_source", "floor_ns", ((F.col("observed_dt_ns") - F.col("wcet_ns")) > F.col("floor_ns")).alias("above_floor"))
+
+
+@query("format_duration", " SELECT frame_no, CASE WHEN v >= 1000000 THEN printf('%.3f ms', v / 1e6) WHEN v >= 1000 THEN printf('%.1f us', v / 1e3) ELSE printf('%d ns', v) END AS shown FROM (SELECT frame_no, gap_ns // (10 ** (frame_no % 8))::BIGINT AS v FROM g WHERE gap_ns IS NOT NULL)")
+def format_duration(spark, d):
+    g = discovery.gaps(streams(spark, d), ["node"]).where("gap_ns is not null").withColumn("v", F.expr("gap_ns div cast(pow(10, frame_no % 8) as bigint)"))
+    return g.select("frame_no", X.format_duration(F.col("v")).alias("shown"))
+
+
+def f32_hex(v) -> F.Column:
+    """Little-endian bytes of a whole number from 0 to 99 as a single."""
+    e = F.length(F.bin(v)) - 1
+    bits = F.when(v == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", (F.lit(127) + e).cast("long"), F.lit(23)) + F.call_function("shiftleft", v - F.call_function("shiftleft", F.lit(1).cast("long"), e), F.lit(23) - e))
+    be = F.lpad(F.hex(bits), 8, "0")
+    return F.concat(*[F.substring(be, i, 2) for i in (7, 5, 3, 1)])
+
+
+def frames(spark, d) -> DataFrame:
+    """A frame for each event: views are UDP, clicks poses, signups TCP 102, purchases tagged cyclic I/O, errors cyclic I/O."""
+    e = events.read(spark, d)
+    k = F.col("k").cast("long")
+    h2, h4 = (lambda v: F.lpad(F.hex(v), 2, "0")), (lambda v: F.lpad(F.hex(v), 4, "0"))
+    zero = lambda n: F.lit("00" * n)
+    ip = lambda proto: F.concat(F.lit("45"), zero(8), F.lit(proto), zero(10))
+    t = F.col("event_type")
+    cyclic = F.concat(h4(F.lit(5).cast("long")), h2(k), zero(43))
+    udp = F.concat(F.lit("0800"), ip("11"), zero(2), h4(7400 + k), h4(8 + k % 16), zero(2), F.repeat(F.lit("AB"), (k % 16).cast("int")))
+    pose = F.concat(F.lit("0800"), ip("11"), zero(2), F.lit("EA68"), h4(F.lit(20).cast("long")), zero(2), f32_hex(k), f32_hex(k % 7), f32_hex(F.lit(0).cast("long")))
+    tcp = F.concat(F.lit("0800"), ip("06"), F.lit("0066"), h4(40000 + k), zero(16))
+    body = F.when(t == "view", udp).when(t == "click", pose).when(t == "signup", tcp).when(t == "purchase", F.concat(F.lit("81000001"), F.lit("8892"), cyclic)).otherwise(F.concat(F.lit("8892"), cyclic))
+    return e.select("event_id", "event_type", "k", F.lit("0").alias("capture_id"), F.col("event_id").alias("frame_no"), F.col("ts").alias("tap_ts_ns"), F.unhex(F.concat(zero(12), body)).alias("raw"))
+
+
+DECODED = ["frame_no", "proto", "parse_error", "ethertype", "vlan", "frame_id", "status_byte", "interlock_bit", "dst_port", "payload_len", "x_mm", "y_mm", "z_mm", "s7_port"]
+
+
+@query("frame_roundtrip", """ SELECT event_id AS frame_no,
+  CASE event_type WHEN 'view' THEN 'udp' WHEN 'click' THEN 'pose' WHEN 'signup' THEN 's7' ELSE 'cyclic' END AS proto, NULL::VARCHAR AS parse_error,
+  CASE WHEN event_type IN ('purchase', 'error') THEN 34962 ELSE 2048 END::INT AS ethertype, event_type = 'purchase' AS vlan,
+  CASE WHEN event_type IN ('purchase', 'error') THEN 5 END::INT AS frame_id, CASE WHEN event_type IN ('purchase', 'error') THEN k END::INT AS status_byte, CASE WHEN event_type IN ('purchase', 'error') THEN k % 2 = 1 END AS interlock_bit,
+  CASE event_type WHEN 'view' THEN 7400 + k WHEN 'click' THEN 60008 END::INT AS dst_port, CASE event_type WHEN 'view' THEN k % 16 WHEN 'click' THEN 12 END::INT AS payload_len,
+  CASE WHEN event_type = 'click' THEN k END::FLOAT AS x_mm, CASE WHEN event_type = 'click' THEN k % 7 END::FLOAT AS y_mm, CASE WHEN event_type = 'click' THEN 0 END::FLOAT AS z_mm,
+  CASE WHEN event_type = 'signup' THEN 102 END::INT AS s7_port FROM base""")
+def frame_roundtrip(spark, d):
+    return decode.decode(frames(spark, d)).select(*DECODED)
+
+
+@query("ethertype_histogram", " SELECT CASE WHEN event_type IN ('purchase', 'error') THEN 34962 ELSE 2048 END::INT AS ethertype, count(*) AS n FROM base GROUP BY 1")
+def ethertype_histogram(spark, d):
+    return preflight.ethertypes(decode.decode(frames(spark, d)))
+
+
+@query("vlan_frames", " SELECT count(*) FILTER (event_type = 'purchase') AS n FROM base")
+def vlan_frames(spark, d):
+    return decode.decode(frames(spark, d)).agg(F.count_if("vlan").alias("n"))
+
+
+@query("frame_profile")
+def frame_profile(spark, d):
+    return discovery.profile(decode.decode(frames(spark, d)))
+
+
+def seven_records() -> list[tuple[int, bytes, int | None]]:
+    """A small capture: two cycles of a port's arrival, a pose and a cyclic bit that falls, and one cut frame."""
+    import struct
+
+    def udp(port, payload):
+        return bytes(12) + b"\x08\x00\x45" + bytes(8) + b"\x11" + bytes(10) + bytes(2) + struct.pack(">HH", port, 8 + len(payload)) + bytes(2) + payload
+
+    def cyclic(status):
+        return (bytes(12) + struct.pack(">HHB", 0x8892, 2, status)).ljust(60, b"\0")
+
+    pose = udp(60008, struct.pack("<fff", 100, 200, 50))
+    ms = 1_000_000
+    return [(10 * ms, udp(7400, bytes(32)), None), (12 * ms, pose, None), (14 * ms, cyclic(1), None), (20 * ms, pose[:20], 54), (30 * ms, udp(7400, bytes(32)), None), (40 * ms, pose, None), (42 * ms, cyclic(0), None)]
+
+
+@query("pcap_roundtrip")
+def pcap_roundtrip(spark, d):
+    """A small capture written to the shared folder, read by the data source and decoded."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tapquarry-shared").removeprefix("file://")
+    path = f"{shared}/capture-{uuid.uuid4().hex}.pcap"
+    os.makedirs(shared, exist_ok=True)
+    pcap.write_capture(path, seven_records())
+    pcap.register(spark)
+    return decode.decode(spark.read.format("pcap").load(path)).select("tap_ts_ns", "incl_len", "orig_len", *DECODED)
