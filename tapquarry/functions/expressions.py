@@ -28,19 +28,27 @@ def be16(raw: Column, at) -> Column:
     return F.conv(F.hex(F.substring(raw, at + 1, F.lit(2))), 16, 10).cast("int")
 
 
-def float32_le(raw: Column, at) -> Column:
-    """Four little-endian bytes as an IEEE-754 single, infinities and NaN included."""
+def word32_le(raw: Column, at) -> Column:
+    """Four little-endian bytes as a whole number."""
     at = at if isinstance(at, Column) else F.lit(at)
-    b = [byte_at(raw, at + i) for i in range(4)]
-    sign = F.when(b[3] >= 128, -1.0).otherwise(1.0)
-    exponent = b[3].bitwiseAND(F.lit(127)) * 2 + F.shiftright(b[2], 7)
-    mantissa = b[2].bitwiseAND(F.lit(127)) * 65536 + b[1] * 256 + b[0]
+    return F.conv(F.concat(*[F.hex(F.substring(raw, at + i, F.lit(1))) for i in (4, 3, 2, 1)]), 16, 10).cast("long")
+
+
+def float32(bits: Column) -> Column:
+    """The IEEE-754 single of 32 bits, infinities and NaN included."""
+    sign = F.when(bits >= 1 << 31, -1.0).otherwise(1.0)
+    exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(255)).cast("int")
+    mantissa = bits.bitwiseAND(F.lit((1 << 23) - 1).cast("long"))
     normal = sign * F.pow(F.lit(2.0), (exponent - 127).cast("double")) * (1 + mantissa / F.lit(8388608.0))
     small = sign * mantissa * F.pow(F.lit(2.0), F.lit(-149.0))
     special = F.when(mantissa > 0, F.lit(float("nan"))).otherwise(sign * F.lit(float("inf")))
     return F.when(exponent == 255, special).when(exponent == 0, small).otherwise(normal).cast("float")
 
 
+def float32_le(raw: Column, at) -> Column:
+    return float32(word32_le(raw, at))
+
+
 def bit_of(status: Column, bit: Column) -> Column:
     return F.expr("1") == F.call_function("shiftright", status, bit).bitwiseAND(F.lit(1))
 
@@ -61,8 +69,10 @@ def bucket_edge(i: Column) -> Column:
 
 
 def format_duration(ns: Column) -> Column:
-    """Milliseconds with three places from 1e6 ns on, microseconds with one from 1e3 on, else ns."""
-    return F.when(ns >= 1_000_000, F.format_string("%.3f ms", ns / 1e6)).when(ns >= 1_000, F.format_string("%.1f us", ns / 1e3)).otherwise(F.format_string("%d ns", ns))
+    """Milliseconds with three places from 1e6 ns on, microseconds with one from 1e3 on, else ns. Whole arithmetic: halves round up."""
+    us, tenths = F.floor((ns + 500) / 1000), F.floor((ns + 50) / 100)
+    ms = F.format_string("%d.%03d ms", F.floor(us / 1000), us % 1000)
+    return F.when(ns >= 1_000_000, ms).when(ns >= 1_000, F.format_string("%d.%d us", F.floor(tenths / 10), tenths % 10)).otherwise(F.format_string("%d ns", ns))
 
 
 def jitter_floor(source: Column) -> Column:

@@ -24,7 +24,7 @@ def streams(decoded: DataFrame) -> DataFrame:
 def gaps(rows: DataFrame, keys: list[str], order: str = "frame_no", ts: str = "tap_ts_ns") -> DataFrame:
     """Adds gap_ns to the row before in the stream, 0 where time runs backward; null at the first row."""
     out = lagged(rows, keys, order, ts, "_was", F.floor(F.col(order) / CHUNK_ROWS))
-    return out.withColumn("gap_ns", F.greatest(F.lit(0).cast("long"), F.col(ts) - F.col("_was"))).drop("_was")
+    return out.withColumn("gap_ns", F.when(F.col("_was").isNotNull(), F.greatest(F.lit(0).cast("long"), F.col(ts) - F.col("_was")))).drop("_was")
 
 
 def gap_stats(with_gaps: DataFrame, keys: list[str]) -> DataFrame:

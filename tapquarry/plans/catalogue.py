@@ -357,7 +357,7 @@ def jitter_floor_flag(spark, d):
     return c.withColumn("floor_ns", X.jitter_floor(F.col("ts_source"))).select("trip_seq", "rank", "ts_source", "floor_ns", ((F.col("observed_dt_ns") - F.col("wcet_ns")) > F.col("floor_ns")).alias("above_floor"))
 
 
-@query("format_duration", " SELECT frame_no, CASE WHEN v >= 1000000 THEN printf('%.3f ms', v / 1e6) WHEN v >= 1000 THEN printf('%.1f us', v / 1e3) ELSE printf('%d ns', v) END AS shown FROM (SELECT frame_no, gap_ns // (10 ** (frame_no % 8))::BIGINT AS v FROM g WHERE gap_ns IS NOT NULL)")
+@query("format_duration", " SELECT frame_no, CASE WHEN v >= 1000000 THEN printf('%d.%03d ms', (v + 500) // 1000000, (v + 500) // 1000 % 1000) WHEN v >= 1000 THEN printf('%d.%d us', (v + 50) // 1000, (v + 50) // 100 % 10) ELSE printf('%d ns', v) END AS shown FROM (SELECT frame_no, gap_ns // (10 ** (frame_no % 8))::BIGINT AS v FROM g WHERE gap_ns IS NOT NULL)")
 def format_duration(spark, d):
     g = discovery.gaps(streams(spark, d), ["node"]).where("gap_ns is not null").withColumn("v", F.expr("gap_ns div cast(pow(10, frame_no % 8) as bigint)"))
     return g.select("frame_no", X.format_duration(F.col("v")).alias("shown"))
