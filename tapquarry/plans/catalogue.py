@@ -37,7 +37,7 @@ def trans(spark: SparkSession, d: str, per_user: bool = False) -> DataFrame:
 
 
 def evaluated(spark: SparkSession, d: str, cap: int = CAP):
-    t = trans(spark, d)
+    t = trans(spark, d).persist()  # read by the trips and by each hop of the walk
     found = A.trips(t, M.trip_node)
     return t, found, A.candidates(t, found, M, cap, monotone=True)  # ts grows with event_id
 
