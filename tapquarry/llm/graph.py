@@ -1,13 +1,44 @@
-"""Connected components of links between documents, by alternating large and small stars."""
+"""Connected components of links between documents.
+
+Up to IN_ONE_TASK links (their number is counted first, 16 bytes each) one task joins them; more are
+contracted by alternating large and small stars.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
+IN_ONE_TASK = 2_000_000
+
+
+def _joined(batches):
+    """Components of the links of all batches, by union of the lesser root."""
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = index[: len(u)], index[len(u) :]
+    root = np.arange(len(nodes))
+    while True:  # hook greater roots to lesser ones, then shorten
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    for lo in range(0, len(nodes), 200_000):
+        part = slice(lo, lo + 200_000)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], names=["node", "component"])
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node hands its least neighbour (or itself) to its larger neighbours, or to its smaller ones and itself.
 
@@ -28,7 +59,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached, for every node with a link. links: (u, v), any direction."""
-    edges = stored(links.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
+    links = links.where("u != v").select("u", "v")
+    if links.count() <= IN_ONE_TASK:
+        return links.coalesce(1).mapInArrow(_joined, "node long, component long")
+    edges = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
     state = _state(edges)
     while state[0]:
         edges = stored(_star(_star(edges, True), False), "stars")

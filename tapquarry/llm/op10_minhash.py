@@ -4,7 +4,8 @@ Two collections of `halves` half-keys are made, each half-key of three minhashes
 of the first with one of the second. So halves^2 tables of six minhashes come from 6 * halves minhashes.
 Documents with equal shingle sets are one class first. In each table's bucket a centre is compared with
 the others; links are confirmed on full sets. Further rounds look only at buckets that still hold several
-components and take other centres, until a round finds no link. A pair at the threshold shares no table
+components and take three other centres in each, until a round finds no link. Sets whose sizes alone rule
+out a link are not compared. A pair at the threshold shares no table
 with a probability of 2 * (1 - s^3)^halves: 0.00015 at 0.85 with 10 halves.
 
 Nulls: a null text has no words and links with nothing; a null doc_id comes before all others and is returned
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import repeats as R
@@ -26,13 +27,15 @@ U64 = np.uint64
 ROWS = 3
 #: Local members of one key from which a task pairs them itself and sends only its centre.
 HOT = 32
-ENTRY = ("u8", "i8")
-PAIRED = ("u8", "i8", "i8")
+ENTRY = ("u8", "i8", "u4")  # key, doc, size of its set
+PAIRED = ("u8", "i8", "u4", "i8")
+#: Centres of a bucket in one round.
+CENTRES = 3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.binary())])
 SIGNATURE_DDL = "doc_id long, n_shingles long, s1 long, s2 long, keys binary"
-LIVE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("centre", pa.int64())])
+LIVE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("centre", pa.int64())])
 
 
 def shingles(data, at, k):
@@ -82,53 +85,66 @@ def sign(batches, k, halves):
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(keys, pa.binary())], schema=SIGNATURE)
 
 
-def send(batches, halves, buckets):
+def gathered(key, doc, n, percent):
+    """Entries by key and size, cut where sizes leave a gap that no link can bridge: order, start of each
+    entry's part, size of the part, and its centre (the least doc; the doc itself where sizes rule a link out)."""
+    order = np.lexsort((n, key))
+    key, doc, n = key[order], doc[order], n[order].astype(np.int64)
+    if not len(key):
+        return order, np.zeros(0, np.int64), doc
+    cut = np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])])
+    start = np.flatnonzero(cut)
+    part = np.cumsum(cut) - 1
+    least = np.lexsort((doc, part))[start]  # parts keep their places, so the least comes first in each
+    centre, m = doc[least][part], n[least][part]
+    centre = np.where(100 * np.minimum(n, m) < percent * np.maximum(n, m), doc, centre)
+    return order, np.diff(np.append(start, len(key)))[part], centre
+
+
+def send(batches, halves, buckets, percent):
     """Table keys by bucket: (key, payload). The payload's first byte tells entries from pairs that a task has made itself."""
 
-    def packed(docs, keys):
+    def packed(docs, sizes, keys):
         a, b = keys[:, :halves], keys[:, halves:]
         key = mix(a[:, :, None] * U64(0x9FB21C651E98DF25) + b[:, None, :]).ravel()
-        doc = np.repeat(docs, halves * halves)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        group = np.cumsum(new) - 1
-        centre = doc[np.flatnonzero(new)[group]]
-        mine = (np.bincount(group)[group] >= HOT) & ~new
-        for blob, to in ((R.by_bucket(R.to_bucket(key[~mine], buckets), [key[~mine], doc[~mine]], ENTRY), b"\0"), (R.by_bucket(R.to_bucket(key[mine] ^ mix(doc[mine].astype(U64)), buckets), [key[mine], doc[mine], centre[mine]], PAIRED), b"\1")):
+        doc, n = np.repeat(docs, halves * halves), np.repeat(sizes, halves * halves)
+        order, size, centre = gathered(key, doc, n, percent)
+        key, doc, n = key[order], doc[order], n[order]
+        mine = (size >= HOT) & (centre != doc)
+        for blob, to in ((R.by_bucket(R.to_bucket(key[~mine], buckets), [key[~mine], doc[~mine], n[~mine]], ENTRY), b"\0"), (R.by_bucket(R.to_bucket(key[mine] ^ mix(doc[mine].astype(U64)), buckets), [key[mine], doc[mine], n[mine], centre[mine]], PAIRED), b"\1")):
             for k, p in blob:
                 yield k, to + p
 
     def made():
-        docs, keys, n = [], [], 0
+        docs, sizes, keys, n, lot = [], [], [], 0, 10_000
         for batch in batches:
             docs.append(np.asarray(batch.column(0)))
-            keys.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), U64).reshape(-1, 2 * halves))
+            sizes.append(np.asarray(batch.column(1)))
+            keys.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), U64).reshape(-1, 2 * halves))
             n += len(docs[-1])
-            while n >= 10_000:
-                d, m = np.concatenate(docs), np.concatenate(keys)
-                yield from packed(d[:10_000], m[:10_000])
-                docs, keys, n = [d[10_000:]], [m[10_000:]], n - 10_000
+            while n >= lot:
+                d, z, m = np.concatenate(docs), np.concatenate(sizes), np.concatenate(keys)
+                yield from packed(d[:lot], z[:lot], m[:lot])
+                docs, sizes, keys, n = [d[lot:]], [z[lot:]], [m[lot:]], n - lot
         if n:
-            yield from packed(np.concatenate(docs), np.concatenate(keys))
+            yield from packed(np.concatenate(docs), np.concatenate(sizes), np.concatenate(keys))
 
     return R.rows(R.KEYED, made())
 
 
-def meet(batches):
+def meet(batches, percent):
     """Entries of keys that several documents share, with the centre each is compared with first."""
     for _, blobs in R.groups(batches):
-        key, doc = R.unpack_all([b[1:] for b in blobs if b[0] == 0], ENTRY)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        shared = np.bincount(group)[group] > 1 if len(key) else new
-        centre = doc[np.flatnonzero(new)[group]] if len(key) else doc
+        key, doc, n = R.unpack_all([b[1:] for b in blobs if b[0] == 0], ENTRY)
+        order, size, centre = gathered(key, doc, n, percent)
         made = R.unpack_all([b[1:] for b in blobs if b[0] == 1], PAIRED)
-        columns = [np.concatenate([x[shared], y]) for x, y in zip((key, doc, centre), made, strict=True)]
+        # a centre of pairs that a task has made stands with them even if no other document shares its key
+        paired = np.isin(key[order], made[0])
+        shared = (size > 1) | paired
+        columns = [np.concatenate([x[shared], y]) for x, y in zip((key[order], doc[order], n[order], centre), made, strict=True)]
         for lo in range(0, len(columns[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 200_000].view(np.int64)) for c in columns], schema=LIVE)
+            part = slice(lo, lo + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(c[part].astype(np.int64) if c.dtype != U64 else c[part].view(np.int64)) for c in columns], schema=LIVE)
 
 
 def confirm(batches, k, percent):
@@ -159,6 +175,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(lambda it: confirm(it, k, percent), "u long, v long")
 
 
+def open_pairs(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (u, v) for another look. labelled: key, doc, n, c (the component so far).
+
+    In a bucket of several components, members outside the largest one meet CENTRES of its members, others in
+    each turn, and in a shuffled order each component's first centre meets the next one's. So pairs grow with
+    the members outside, never with the product of two components.
+    """
+    h = [F.xxhash64("doc", F.lit(turn), F.lit(i)) for i in range(CENTRES)]
+    parts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), *[F.min_by("doc", h[i]).alias(f"d{i}") for i in range(CENTRES)], *[F.min_by("n", h[i]).alias(f"n{i}") for i in range(CENTRES)])
+    by_size = Window.partitionBy("key").orderBy(F.desc("m"), "c")
+    shuffled = Window.partitionBy("key").orderBy(F.xxhash64("c", F.lit(turn)), "c")
+    parts = parts.withColumns({"place": F.row_number().over(by_size), "second": F.lead("m").over(by_size), "next_d": F.lead("d0").over(shuffled), "next_n": F.lead("n0").over(shuffled)})
+    fit = f"100 * least({{a}}, {{b}}) >= {percent} * greatest({{a}}, {{b}})"
+    chain = parts.where("next_d is not null and " + fit.format(a="n0", b="next_n")).select(F.least("d0", "next_d").alias("u"), F.greatest("d0", "next_d").alias("v"))
+    largest = parts.where("place = 1 and second is not null").select(F.col("key").alias("k"), F.col("c").alias("big"), F.array(*[F.struct(F.col(f"d{i}").alias("d"), F.col(f"n{i}").alias("n")) for i in range(CENTRES)]).alias("centres"))
+    outside = labelled.join(largest, (F.col("key") == F.col("k")) & (F.col("c") != F.col("big"))).select("doc", "n", F.explode("centres").alias("o")).where(fit.format(a="n", b="o.n"))
+    return chain.unionByName(outside.select(F.least("doc", "o.d").alias("u"), F.greatest("doc", "o.d").alias("v"))).where("u != v").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves: int = 10) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links), kept, n_links
     (confirmed links of the document's class that the rounds needed)."""
@@ -167,8 +202,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves
     signed = R.stored(docs.mapInArrow(lambda it: sign(it, shingle, halves), SIGNATURE_DDL), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min_by("keys", "doc_id").alias("keys"))
     classes = R.stored(classes, "classes")
-    sent = classes.select("doc", "keys").mapInArrow(lambda it: send(it, halves, n), "key long, payload binary")
-    live = R.stored(R.dealt(sent).mapInArrow(meet, "key long, doc long, centre long"), "buckets")
+    sent = classes.select("doc", "n_shingles", "keys").mapInArrow(lambda it: send(it, halves, n, percent), "key long, payload binary")
+    live = R.stored(R.dealt(sent).mapInArrow(lambda it: meet(it, percent), "key long, doc long, n long, centre long"), "buckets")
     # full texts of the representatives that share a bucket
     needed = live.select("doc").distinct()
     texts = docs.withColumnRenamed("doc_id", "doc").join(needed, "doc", "left_semi").dropDuplicates(["doc"])
@@ -179,10 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves
     turn = 0
     while True:
         turn += 1
-        labelled = live.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-        open_ = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("doc", "c"), F.xxhash64("doc", F.lit(turn))).alias("centre")).where("low < high").select("key", "centre")
-        pairs = labelled.join(open_, "key").where("c != centre.c").select(F.least("doc", "centre.doc").alias("u"), F.greatest("doc", "centre.doc").alias("v")).distinct()
-        pairs = R.stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        labelled = live.select("key", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
+        pairs = R.stored(open_pairs(labelled, turn, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
         more = R.stored(confirmed(pairs, texts, shingle, percent), "links")
         if not more.take(1):
             break
