@@ -34,7 +34,7 @@ BOUNDARY, OTHER = 0, 27
 #: Letters that a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 APART = b" .-_*\t"
-EDGES = b".,!?;:\"'()[]"
+LEAD, TRAIL = b".,?;:\"'([", b".,!?;:\"')]"
 #: Letters of a disguised word at most; a run of letters set apart has no limit.
 LONGEST_WORD = 32
 #: Bound of the labelled sample, and of the features that are fitted.
@@ -168,7 +168,7 @@ class Channel:
         lone &= letter[start] | leet[start]
         word_doc = np.searchsorted(offsets, start, "right")
         edge = np.flatnonzero(np.concatenate([[True], (lone[1:] != lone[:-1]) | (word_doc[1:] != word_doc[:-1]), [True]]))
-        flagged = ((per_word(hit) > 0) & (n_letters >= n_leet) & (n_letters >= 2) | held | doubled) & (size <= LONGEST_WORD) | (dotted & (size <= 2 * LONGEST_WORD))
+        flagged = ((per_word(hit) > 0) & (2 * n_letters >= n_leet) & (n_letters >= 2) | held | doubled) & (size <= LONGEST_WORD) | (dotted & (size <= 2 * LONGEST_WORD))
         spans = [(int(start[i]), int(end[i])) for i in np.flatnonzero(flagged & ~lone)]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if b - a >= 4 and lone[a]:
@@ -179,8 +179,9 @@ class Channel:
         raw, out, cut, done = data.tobytes(), [], [], 0
         for a, b in spans:
             token = raw[a:b]
-            core = token.strip(EDGES)
-            a += len(token) - len(token.lstrip(EDGES)) if core else 0
+            inner = token.lstrip(LEAD)
+            core = inner.rstrip(TRAIL)
+            a += len(token) - len(inner) if core else 0
             new = self.restored(core) if len(core) <= 2 * LONGEST_WORD else self.decode(core)
             out += [raw[done:a], new]
             done = a + len(core)

@@ -29,7 +29,7 @@ def test_html_layout():
     assert op1_html.text_of(page) == "one two\n\nthree\nfour\n\n- a\n- b\n   9. x\n  10. y\n\nName  n\nab    3\n\n k\n  l\n\n<end>"
 
 
-@pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a</div></p></x>b", "a\nb"), ("a < b", "a < b"), ("<!-- open", ""), ("<a href='x", "<a href='x"), ("<details><summary>s</summary>h</details>", "s"), ("<div>" * 3000 + "deep", "deep")])
+@pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain", "plain"), ("<p>a</div></p></x>b", "a\n\nb"), ("a < b", "a < b"), ("<!-- open", ""), ("<a href='x", "<a href='x"), ("<details><summary>s</summary>h</details>", "s"), ("<div>" * 3000 + "deep", "deep")])
 def test_html_odd_pages(page, text):
     assert op1_html.text_of(page) == text
 
