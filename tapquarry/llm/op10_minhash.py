@@ -101,7 +101,7 @@ def gathered(key, doc, n, percent):
     return order, np.diff(np.append(start, len(key)))[part], centre
 
 
-def send(batches, halves, buckets, percent):
+def send(batches, halves, buckets, percent, most):
     """Table keys by bucket: (key, payload). The payload's first byte tells entries from pairs that a task has made itself."""
 
     def packed(docs, sizes, keys):
@@ -110,8 +110,9 @@ def send(batches, halves, buckets, percent):
         doc, n = np.repeat(docs, halves * halves), np.repeat(sizes, halves * halves)
         order, size, centre = gathered(key, doc, n, percent)
         key, doc, n = key[order], doc[order], n[order]
-        mine = (size >= HOT) & (centre != doc)
-        for blob, to in ((R.by_bucket(R.to_bucket(key[~mine], buckets), [key[~mine], doc[~mine], n[~mine]], ENTRY), b"\0"), (R.by_bucket(R.to_bucket(key[mine] ^ mix(doc[mine].astype(U64)), buckets), [key[mine], doc[mine], n[mine], centre[mine]], PAIRED), b"\1")):
+        mine = (size >= most) & (centre != doc)
+        told = size >= most  # the centre stands with the pairs, also where no other task has its key
+        for blob, to in ((R.by_bucket(R.to_bucket(key[~mine], buckets), [key[~mine], doc[~mine], n[~mine]], ENTRY), b"\0"), (R.by_bucket(R.to_bucket(key[told] ^ mix(doc[told].astype(U64)), buckets), [key[told], doc[told], n[told], centre[told]], PAIRED), b"\1")):
             for k, p in blob:
                 yield k, to + p
 
@@ -138,9 +139,7 @@ def meet(batches, percent):
         key, doc, n = R.unpack_all([b[1:] for b in blobs if b[0] == 0], ENTRY)
         order, size, centre = gathered(key, doc, n, percent)
         made = R.unpack_all([b[1:] for b in blobs if b[0] == 1], PAIRED)
-        # a centre of pairs that a task has made stands with them even if no other document shares its key
-        paired = np.isin(key[order], made[0])
-        shared = (size > 1) | paired
+        shared = size > 1
         columns = [np.concatenate([x[shared], y]) for x, y in zip((key[order], doc[order], n[order], centre), made, strict=True)]
         for lo in range(0, len(columns[0]), 200_000):
             part = slice(lo, lo + 200_000)
@@ -194,7 +193,7 @@ def open_pairs(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
     return chain.unionByName(outside.select(F.least("doc", "o.d").alias("u"), F.greatest("doc", "o.d").alias("v"))).where("u != v").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves: int = 10) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves: int = 10, hot: int = HOT) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links), kept, n_links
     (confirmed links of the document's class that the rounds needed)."""
     spark, docs = docs.sparkSession, R.documents_of(docs)
@@ -202,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves
     signed = R.stored(docs.mapInArrow(lambda it: sign(it, shingle, halves), SIGNATURE_DDL), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min_by("keys", "doc_id").alias("keys"))
     classes = R.stored(classes, "classes")
-    sent = classes.select("doc", "n_shingles", "keys").mapInArrow(lambda it: send(it, halves, n, percent), "key long, payload binary")
+    sent = classes.select("doc", "n_shingles", "keys").mapInArrow(lambda it: send(it, halves, n, percent, hot), "key long, payload binary")
     live = R.stored(R.dealt(sent).mapInArrow(lambda it: meet(it, percent), "key long, doc long, n long, centre long"), "buckets")
     # full texts of the representatives that share a bucket
     needed = live.select("doc").distinct()

@@ -27,6 +27,7 @@ from .induced import sort_suffixes
 U64 = np.uint64
 WINDOW, ANCHOR = 100, 24
 #: Bytes of text that are sorted at once; anchors of a shard are taken in such lots, and one anchor with more is a lot of its own.
+#: Hot contexts are cut anywhere: their windows meet again by hash.
 LOT = 1 << 20
 WINDOW_ROW = ("u8", "u8", "i8", "u4")
 COLUMNS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -86,7 +87,7 @@ def sort_shards(batches, length, buckets):
             anchor, doc, pos, size, hot, text = R.read_contexts(blobs, np.uint8)
             size, pos = size.astype(np.int64), pos.astype(np.int64)
             begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-            for o in lots(np.where(hot, np.uint64(0), anchor), size):
+            for o in lots(np.where(hot, np.arange(len(hot), dtype=U64), anchor), size):
                 part = np.concatenate([text[begin[i] : begin[i] + size[i]] for i in o])
                 (d, p), (h1, h2, hd, hp) = repeats_in(anchor[o], doc[o], pos[o], size[o], hot[o], part, length)
                 d, lo, hi = R.merged(d, p, p)
@@ -113,14 +114,14 @@ def meet_hot(batches):
     return R.rows(R.KEYED, made())
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = R.HOT) -> DataFrame:
     """Rows (key, payload): a chunk's spans of starts of repeated windows."""
-    found = R.candidates(docs, R.of_bytes, window, anchor)
+    found = R.candidates(docs, R.of_bytes, window, anchor, hot)
     n = 2 * partitions(docs.sparkSession)
     kinds = "kind int, key long, payload binary"
     shards = R.stored(R.dealt(found.where("kind = 1").select("key", "payload")).mapInArrow(lambda it: sort_shards(it, window, n), kinds), "suffixes")
-    hot = R.dealt(shards.where("kind = 2").select("key", "payload")).mapInArrow(meet_hot, "key long, payload binary")
-    return found.where("kind = 0").select("key", "payload").unionByName(shards.where("kind = 0").select("key", "payload")).unionByName(hot)
+    met = R.dealt(shards.where("kind = 2").select("key", "payload")).mapInArrow(meet_hot, "key long, payload binary")
+    return found.where("kind = 0").select("key", "payload").unionByName(shards.where("kind = 0").select("key", "payload")).unionByName(met)
 
 
 def kept_parts(ids, at, doc, lo, hi, length):
@@ -138,10 +139,10 @@ def kept_parts(ids, at, doc, lo, hi, length):
         yield i, size, runs
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False, hot: int = R.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `texts` also `kept`, the remaining bytes."""
     docs = R.documents_of(docs)
-    spans = repeated_spans(docs, window, anchor)
+    spans = repeated_spans(docs, window, anchor, hot)
 
     def of_chunk(ids, data, at, doc, lo, hi):
         out = [[] for _ in range(5 + texts)]

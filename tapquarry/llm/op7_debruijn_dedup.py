@@ -76,10 +76,10 @@ def to_chunks(batches):
     return R.rows(R.KEYED, made())
 
 
-def spans_of(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+def spans_of(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = R.HOT) -> tuple[DataFrame, DataFrame]:
     """Repeated spans by chunk (key, payload), and the long repeats found through the graph:
     unitig, doc_id, start and end word of each occurrence that is not the first."""
-    found = R.candidates(docs, R.of_words, window, anchor)
+    found = R.candidates(docs, R.of_words, window, anchor, hot)
     edges = found.where("kind = 1").select("payload").mapInArrow(lambda it: expand(it, window), EDGE_DDL)
     repeated = edges.groupBy("edge", "proof").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("first"), F.min("tail").alias("tail"), F.min("head").alias("head"))
     repeated = R.stored(repeated.where("n > 1"), "edges")
@@ -104,10 +104,10 @@ def normal(data, at):
     return out, np.searchsorted(start, offsets), np.concatenate([[0], np.cumsum(size + 1)])
 
 
-def debruijn_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
+def debruijn_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False, hot: int = R.HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with `texts` also `kept`, the kept words joined by one space."""
     docs = R.documents_of(docs)
-    spans, _ = spans_of(docs, window, anchor)
+    spans, _ = spans_of(docs, window, anchor, hot)
 
     def of_chunk(ids, data, at, doc, lo, hi):
         text, words_at, word = normal(data, at)

@@ -149,7 +149,7 @@ def to_bucket(h, n):
     return (mix(h) % U64(n)).astype(np.int64)
 
 
-def send_contexts(batches, units, length, k, buckets):
+def send_contexts(batches, units, length, k, buckets, most):
     def packed(parts):
         ah, ch, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         chunk = doc >> CHUNK_BITS
@@ -160,7 +160,7 @@ def send_contexts(batches, units, length, k, buckets):
         new = np.flatnonzero(new_c | np.concatenate([[True], chunk[1:] != chunk[:-1]]))
         count = np.diff(np.append(new, len(ah)))
         of_anchor = np.cumsum(new_a) - 1
-        hot = (np.bincount(of_anchor, weights=new_c) >= HOT)[of_anchor]
+        hot = (np.bincount(of_anchor, weights=new_c) >= most)[of_anchor]
         flags = np.where(count > 1, REPEATED, 0).astype(np.uint8) | np.where(hot[new], SALTED, 0).astype(np.uint8)
         mark = np.flatnonzero(new_a & hot)
         z = np.zeros(len(mark), np.int64)
@@ -368,10 +368,10 @@ def documents_of(df: DataFrame) -> DataFrame:
     return df.select(concat_id().alias("doc_id"), sql_text().alias("text"))
 
 
-def candidates(docs: DataFrame, units, length: int, k: int) -> DataFrame:
+def candidates(docs: DataFrame, units, length: int, k: int, hot: int = HOT) -> DataFrame:
     """Rows (kind, key, payload), stored: kind 0 has a chunk's repeated spans, kind 1 a shard's open contexts."""
     n = 2 * partitions(docs.sparkSession)
-    sent = docs.mapInArrow(lambda it: send_contexts(it, units, length, k, n), "key long, payload binary")
+    sent = docs.mapInArrow(lambda it: send_contexts(it, units, length, k, n, hot), "key long, payload binary")
     answers = dealt(sent).mapInArrow(answer, "key long, payload binary")
     found = joined_with(docs, answers).mapInArrow(lambda it: find_candidates(it, units, length, k, n), "kind int, key long, payload binary")
     return stored(found, "repeats")

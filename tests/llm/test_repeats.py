@@ -27,16 +27,12 @@ def mixed(rng, letters, n=90):
     return docs
 
 
-@pytest.fixture(autouse=True)
-def few_are_hot(monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 4)
-
-
+@pytest.mark.parametrize("hot", [4, repeats.HOT])
 @pytest.mark.parametrize("operator,model", [(op3_suffix_dedup.suffix_dedup, brute.op3), (op7_debruijn_dedup.debruijn_dedup, brute.op7)])
-def test_same_as_brute_force(spark, operator, model):
+def test_same_as_brute_force(spark, operator, model, hot):
     docs = mixed(random.Random(5), "ab  cd") + [(1000 + d, t) for d, t in EDGE_CASES]
     df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as lo", "'x' as key").repartition(3)
-    assert sorted(map(tuple, operator(df).collect())) == model(docs)
+    assert sorted(map(tuple, operator(df, hot=hot).collect())) == model(docs)
 
 
 @pytest.mark.parametrize("operator", [op3_suffix_dedup.suffix_dedup, op7_debruijn_dedup.debruijn_dedup])
@@ -71,7 +67,8 @@ def test_induced_sorting(monkeypatch, base, tmp_path):
         assert (order.tolist(), lcp.tolist()) == suffixes(t.tolist(), cap)
 
 
-def test_near_duplicates_same_as_brute_force(spark):
+@pytest.mark.parametrize("hot", [2, 32])
+def test_near_duplicates_same_as_brute_force(spark, hot):
     rng, docs = random.Random(5), []
     vocabulary = [f"w{i}" for i in range(300)]
     for _ in range(40):
@@ -82,8 +79,8 @@ def test_near_duplicates_same_as_brute_force(spark):
                 own[rng.randrange(len(own))] = rng.choice(vocabulary)
             docs.append((len(docs) * 3, " ".join(own)))
     docs += [(9990, ""), (9991, None), (9992, "a"), (9993, "A"), (9994, "")]
-    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "0 as n", "'k' as keys")
-    assert sorted(map(tuple, op10_minhash.near_duplicates(df).drop("n_links").collect())) == brute.op10(docs)
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "0 as n", "'k' as keys").coalesce(1)
+    assert sorted(map(tuple, op10_minhash.near_duplicates(df, hot=hot).drop("n_links").collect())) == brute.op10(docs)
 
 
 def test_near_duplicates_odd_tables(spark):
