@@ -1,10 +1,10 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
-A document's terms are its words in lower case, weighted by their counts. For each of `repeats` hash functions a
-term falls into one of `bins` slots; there it draws gamma(2,1) variables r and c and a uniform b from its own
-hash, quantises its weight to t = floor(ln w / r + b) and competes with ln c - r (t - b) - r. A slot keeps the
-least term's (term, t). For terms that share a slot two weightings keep the same pair with the probability
-of their generalised Jaccard similarity. Likeness is the share of equal slots among those either uses.
+A document's terms are its words in lower case, weighted by their counts. For each of `samples` samples every
+term draws gamma(2,1) variables r and c and a uniform b from its own hash, quantises its weight to
+t = floor(ln w / r + b) and competes with ln c - r (t - b) - r. The sample keeps the least term's (term, t): two
+weightings keep the same pair with the probability of their generalised Jaccard similarity. Likeness is the
+share of equal samples. A text's terms and those of its edited form share their draws.
 
 Documents follow each other by doc_id, nulls first, rows that repeat a doc_id by text. They are cut into blocks
 of doc_ids at quantiles; the first document of a block is also shown to the block before, so that no
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, partitions, table
 
-REPEATS, BINS = 2, 32
+SAMPLES = 64
 #: Blocks of doc_ids; their bounds are held on the driver.
 BLOCKS = 512
 MASK = (1 << 24) - 1
+#: A draw is one number: its key (over -72, under 4) in steps of 2^-32 above CODE bits of the hash of (term, t).
+CODE, ABOVE = 23, 128
 
 
 def uniform(h, shift: int):
@@ -46,21 +48,30 @@ def ordered(docs: DataFrame, blocks: int) -> DataFrame:
     return placed.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("turn")
 
 
-def signatures(rows: DataFrame, repeats: int, bins: int) -> DataFrame:
-    """rows: block, rn, own, edited. Adds up to one slot list per text: own_slots, edited_slots (arrays of ssxxxx)."""
+def signatures(rows: DataFrame, samples: int) -> DataFrame:
+    """rows: block, rn, own, edited. Adds a list of samples per text: own_slots, edited_slots (arrays of ssxxxx)."""
     texts = rows.select("block", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v")).select("block", "rn", "v.kind", "v.t")
     terms = texts.select("block", "rn", "kind", F.explode(F.split(F.translate(F.lower("t"), "\t\n\x0b\f\r", "     "), " ")).alias("word")).where("word != ''")
-    terms = terms.select("block", "rn", "kind", F.xxhash64("word").alias("term")).groupBy("block", "rn", "kind", "term").agg(F.count(F.lit(1)).alias("n"))
-    drawn = terms.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-    drawn = drawn.withColumn("h1", F.xxhash64("term", "turn")).withColumn("h2", F.xxhash64("h1", F.lit(1)))
-    drawn = drawn.withColumn("r", -F.ln(uniform(F.col("h1"), 0) * uniform(F.col("h1"), 24))).withColumn("c", -F.ln(uniform(F.col("h2"), 0) * uniform(F.col("h2"), 24)))
-    b = uniform(F.xxhash64("h1", F.lit(2)), 0)
-    drawn = drawn.withColumn("b", b).withColumn("t", F.floor(F.ln("n") / F.col("r") + F.col("b")))
-    drawn = drawn.select("block", "rn", "kind", (F.col("turn") * bins + F.pmod(F.shiftrightunsigned("h1", 48), F.lit(bins))).cast("int").alias("slot"), F.xxhash64("term", "t").alias("sample"), (F.ln("c") - F.col("r") * (F.col("t") - F.col("b")) - F.col("r")).alias("key"))
-    least = drawn.groupBy("block", "rn", "kind", "slot").agg(F.min_by("sample", "key").alias("sample"))
-    code = F.concat(F.lpad(F.hex(F.col("slot").cast("long")), 2, "0"), F.lpad(F.hex(F.col("sample").bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0"))
-    lists = least.select("block", "rn", "kind", code.alias("code")).groupBy("block", "rn")
-    return lists.agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("code")))).alias(n) for k, n in ((0, "own_slots"), (1, "edited_slots"))])
+    terms = terms.select("block", "rn", "kind", F.xxhash64("word").alias("term")).groupBy("block", "rn", "term").agg(*[F.ln(F.count(F.when(F.col("kind") == k, 1))).alias(f"w{k}") for k in (0, 1)])
+    drawn = terms.withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(samples)])))
+    drawn = drawn.withColumn("h1", F.xxhash64("term", "slot")).withColumn("h2", F.xxhash64("h1", F.lit(1)))
+    drawn = drawn.withColumn("r", -F.ln(uniform(F.col("h1"), 0) * uniform(F.col("h1"), 24))).withColumn("log_c", F.ln(-F.ln(uniform(F.col("h2"), 0) * uniform(F.col("h2"), 24))))
+    drawn = drawn.withColumn("b", uniform(F.xxhash64("h1", F.lit(2)), 0)).withColumns({f"t{k}": F.floor(F.col(f"w{k}") / F.col("r") + F.col("b")) for k in (0, 1)})
+
+    def draw(k):
+        t = F.col(f"t{k}")
+        key = F.col("log_c") - F.col("r") * (t - F.col("b")) - F.col("r")
+        return F.shiftleft(((key + F.lit(float(ABOVE))) * F.lit(float(1 << 32))).cast("long"), CODE).bitwiseOR(F.xxhash64("h1", t).bitwiseAND(F.lit((1 << CODE) - 1).cast("long")))
+
+    # a term that a text lacks has no weight (the logarithm of 0 is null), and so no draw
+    drawn = drawn.select("block", "rn", "slot", *[F.when(F.col(f"w{k}").isNotNull(), draw(k)).alias(f"v{k}") for k in (0, 1)])
+    least = drawn.groupBy("block", "rn", "slot").agg(F.min("v0").alias("v0"), F.min("v1").alias("v1"))
+
+    def code(k):
+        v = F.col(f"v{k}")
+        return F.when(v.isNotNull(), F.concat(F.lpad(F.hex(F.col("slot").cast("long")), 2, "0"), F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0")))
+
+    return least.groupBy("block", "rn").agg(*[F.sort_array(F.collect_list(code(k))).alias(n) for k, n in ((0, "own_slots"), (1, "edited_slots"))])
 
 
 def likeness(a, b):
@@ -68,7 +79,7 @@ def likeness(a, b):
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
-def fingerprints(docs: DataFrame, repeats: int = REPEATS, bins: int = BINS, blocks: int = BLOCKS) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = ordered(docs, blocks)
     n = F.char_length("text")
@@ -76,7 +87,7 @@ def fingerprints(docs: DataFrame, repeats: int = REPEATS, bins: int = BINS, bloc
     edited = F.when(F.col("guest"), F.lit("")).otherwise(F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m)))
     rows = rows.select("block", "rn", "doc_id", "guest", n.cast("long").alias("n_chars"), F.col("text").alias("own"), edited.alias("edited"))
     none = F.array().cast("array<string>")
-    slots = signatures(rows, repeats, bins)
+    slots = signatures(rows, samples)
     # every row takes part, so that the next one's fingerprint is the next row's
     facts = rows.select("block", "rn", "doc_id", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     both = facts.join(slots, ["block", "rn"], "left").withColumns({c: F.coalesce(c, none) for c in ("own_slots", "edited_slots")})

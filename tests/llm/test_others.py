@@ -84,6 +84,19 @@ def test_likeness_follows_weighted_jaccard(spark):
     assert abs(np.mean([r["near_edited"] for r in rows]) - 0.6) < 0.08 and np.mean([r["near_next"] for r in rows]) < 0.15
 
 
+@pytest.mark.parametrize("n,heavy,other", [(31, (100, 100), 1), (31, (100, 10), 31), (400, None, 200)])
+def test_likeness_on_skewed_counts(spark, n, heavy, other):
+    """One heavy word among other words, the same words with another heavy count, and Zipf-like counts with the rare half replaced."""
+    truth, docs = [], []
+    for pair in range(30):
+        counts = [[h, *[1] * (n - 1)] for h in heavy] if heavy else [[max(1, 400 // (i + 1)) for i in range(n)]] * 2
+        a, b = ({f"p{pair}w{i}" if i < other or not side else f"p{pair}x{i}": c for i, c in enumerate(counts[side])} for side in (0, 1))
+        truth.append(sum(min(a.get(w, 0), b.get(w, 0)) for w in a | b) / sum(max(a.get(w, 0), b.get(w, 0)) for w in a | b))
+        docs += [(2 * pair + side, " ".join(w for w, c in x.items() for _ in range(c))) for side, x in enumerate((a, b))]
+    rows = op4_weighted_sampling.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), blocks=4).collect()
+    assert abs(np.mean([r["near_next"] for r in rows if r["doc_id"] % 2 == 0]) - np.mean(truth)) < 0.05
+
+
 def test_decontamination(spark):
     item = "A train leaves at 9 with 120 riders and 9 more board in Paris so how many minutes until all riders leave again"
     other = item.replace("9", "4").replace("120", "77").replace("Paris", "Oslo")
