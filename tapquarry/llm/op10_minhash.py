@@ -193,6 +193,15 @@ def open_pairs(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
     return chain.unionByName(outside.select(F.least("doc", "o.d").alias("u"), F.greatest("doc", "o.d").alias("v"))).where("u != v").distinct()
 
 
+def crossing(labelled: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) of different components in a bucket that sizes do not rule out."""
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    some = labelled.join(mixed, "key", "left_semi")
+    other = some.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("c").alias("o"))
+    both = some.join(other, "key").where(f"c < o and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    return both.select(F.least("doc", "d").alias("u"), F.greatest("doc", "d").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves: int = 10, hot: int = HOT) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links), kept, n_links
     (confirmed links of the document's class that the rounds needed)."""
@@ -210,16 +219,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves
     tested = R.stored(live.where("doc != centre").select(F.least("doc", "centre").alias("u"), F.greatest("doc", "centre").alias("v")).distinct(), "pairs")
     links = R.stored(confirmed(tested, texts, shingle, percent), "links")
     found = R.stored(components(links), "components")
-    turn = 0
+    turn, last = 0, False
     while True:
         turn += 1
         labelled = live.select("key", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-        pairs = R.stored(open_pairs(labelled, turn, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
+        pairs = crossing(labelled, percent) if last else open_pairs(labelled, turn, percent)
+        pairs = R.stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         more = R.stored(confirmed(pairs, texts, shingle, percent), "links")
-        if not more.take(1):
+        some = bool(more.take(1))
+        if some:
+            tested, links = tested.unionByName(pairs), links.unionByName(more)
+            found = R.stored(components(links), "components")
+        if last:
             break
-        tested, links = tested.unionByName(pairs), links.unionByName(more)
-        found = R.stored(components(links), "components")
+        last = not some
     class_of = classes.select("s1", "s2", "n_shingles", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "doc").alias("component"), "doc")
     degree = links.select(F.col("u").alias("doc")).unionByName(links.select(F.col("v").alias("doc"))).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
     class_of = class_of.join(degree, "doc", "left").drop("doc")

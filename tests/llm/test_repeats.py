@@ -83,6 +83,20 @@ def test_near_duplicates_same_as_brute_force(spark, hot):
     assert sorted(map(tuple, op10_minhash.near_duplicates(df, hot=hot).drop("n_links").collect())) == brute.op10(docs)
 
 
+def test_near_duplicates_of_a_large_family(spark):
+    """Several hundred copies of one text, edited on their own, so that their similarity lies around the threshold."""
+    rng = random.Random(11)
+    base, docs = [f"b{i}" for i in range(300)], []
+    for d in range(600):
+        own = list(base)
+        for p in rng.sample(range(300), rng.randint(6, 39)):
+            own[p] = f"d{d}x{p}"
+        docs.append((d, " ".join(own)))
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    got = op10_minhash.near_duplicates(df, shingle=1).drop("n_links").collect()
+    assert sorted(map(tuple, got)) == brute.op10(docs, 1)
+
+
 def test_near_duplicates_odd_tables(spark):
     assert op10_minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = op10_minhash.near_duplicates(spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (5, "z")], SCHEMA)).collect()
