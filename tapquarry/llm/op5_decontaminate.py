@@ -2,10 +2,11 @@
 
 Words lose edge punctuation and case; numbers, units and names become typed placeholders. Windows of
 `window` template words of the documents meet those of the benchmark in a hash join. Hits of one item on one
-diagonal chain to runs of words; a run counts if its slots are consistent, that is if equal values in the
-item have equal values in the document and different ones different, so that a question asked again
-with other numbers or names is found and a chance template is not. A document is contaminated if a run has
-`least` words, or all words of a shorter item (three at least), and half of its words are no slots.
+diagonal chain to runs of words; a stretch of a run counts if its slots are consistent, that is if equal values in
+the item have equal values in the document and different ones different, so that a question asked again
+with other numbers or names is found and a chance template is not. A document is contaminated if such a stretch has
+`least` words, or all words of a shorter item (three at least), and half of its words are no slots, or if a stretch of
+that length is verbatim.
 
 Items with equal templates and equal slot patterns are one class, named by the least item_id. The benchmark's
 windows are broadcast in blocks of at most BLOCK windows; documents are scanned once for each block.
@@ -113,10 +114,27 @@ class Items:
         self.widths = sorted({min(window, len(t)) for t in self.words})
 
 
-def consistent(a, b) -> bool:
-    """Whether equal slot values stand for equal ones, both ways."""
-    pairs = len(set(zip(a.tolist(), b.tolist(), strict=True)))
-    return pairs == len(set(a.tolist())) == len(set(b.tolist()))
+def stretches(x, y, slots, need: int):
+    """Stretches (start, end) of a run that count as evidence. x, y: values of item and document.
+
+    For each end the longest stretch with consistent slots, half of whose words are no slots, and the longest one
+    that is verbatim; both of `need` words at least.
+    """
+    there, back, lo, same = {}, {}, 0, 0
+    x, y, slot = x.tolist(), y.tolist(), slots.tolist()
+    before = [0, *np.cumsum(slots).tolist()]
+    for i, (p, q) in enumerate(zip(x, y, strict=True)):
+        same = same if p == q else i + 1
+        if slot[i]:
+            # the last places of the value on either side whose partner is another
+            lo = max([lo, *(at + 1 for o, at in there.get(p, {}).items() if o != q), *(at + 1 for o, at in back.get(q, {}).items() if o != p)])
+            there.setdefault(p, {})[q] = back.setdefault(q, {})[p] = i
+        if i + 1 - same >= need:
+            yield same, i + 1
+        for start in range(lo, i + 2 - need):
+            if 2 * (before[i + 1] - before[start]) <= i + 1 - start:
+                yield start, i + 1
+                break
 
 
 def match(t, v, items: Items, hits, least: int):
@@ -137,13 +155,11 @@ def match(t, v, items: Items, hits, least: int):
             a, b = starts[lo], starts[hi] + width
             lo = hi + 1
             part = slice(a - shift, b - shift)
-            slots = np.isin(words[part], [NUMBER, UNIT, NAME])
-            if b - a < need or 2 * int(slots.sum()) > b - a or not np.array_equal(t[a:b], words[part]):
+            if b - a < need or not np.array_equal(t[a:b], words[part]):
                 continue
-            if not consistent(values[part][slots], v[a:b][slots]):
-                continue
-            exact = bool((values[part] == v[a:b]).all())
-            best[k] = max(best.get(k, (0, False)), (b - a, exact))
+            x, y = values[part], v[a:b]
+            for p, q in stretches(x, y, np.isin(words[part], [NUMBER, UNIT, NAME]), need):
+                best[k] = max(best.get(k, (0, False)), (q - p, bool((x[p:q] == y[p:q]).all())))
     return best
 
 

@@ -109,6 +109,15 @@ def test_decontamination(spark):
     assert not op5_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_of_parts_of_a_run(spark):
+    item = "A train leaves at 9 with 120 riders and 9 more board in Paris so how many minutes until all riders leave again"
+    chance = "A 1 2 3 ran 4 5 6 far 7 8 9 on 10 11 12 by"  # mostly slots
+    docs = [(3, item.replace("at 9", "at 5")), (4, item.replace("9 more", "5 more").replace("Paris", "Oslo")), (5, "A 7 7 7 ran 7 7 7 far 7 7 7 on 7 7 7 by"), (6, chance)]
+    bench = spark.createDataFrame([(10, item), (11, chance)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["words"], r["exact"]) for r in op5_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {3: (10, 18, True), 4: (10, 18, False), 5: (None, 0, False), 6: (11, 17, True)}
+
+
 def test_token_shards(spark, tmp_path):
     docs = [(1, "hello world " * 300), (2, ""), (3, None), (None, "x"), (3, "y")]
     pieces = op8_token_shards.materialise(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), length=64, per_shard=4)
