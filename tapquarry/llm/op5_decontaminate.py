@@ -8,6 +8,9 @@ with other numbers or names is found and a chance template is not. A document is
 `least` words, or all words of a shorter item (three at least), and half of its words are no slots, or if a stretch of
 that length is verbatim.
 
+A capitalised word that opens a sentence is a literal word in one pass and a name in a second one, so that a question
+whose sentences begin with a name is found with other names, and a copy without its capitals is too.
+
 Items with equal templates and equal slot patterns are one class, named by the least item_id. The benchmark's
 windows are broadcast in blocks of at most BLOCK windows; documents are scanned once for each block.
 Nulls: a null text has no words; null ids are kept. Rows that repeat are judged alike. Other columns are
@@ -60,10 +63,11 @@ def among(h, known):
 
 
 def template(data, at):
-    """Template words, literal words (hashes), and documents' offsets in words."""
+    """Template words, the same with every capitalised first word of a sentence or line as a name, literal words
+    (hashes), and documents' offsets in words."""
     data, offsets, start, end = R.word_edges(data, at)
     if not len(start):
-        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(len(at), np.int64)
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(len(at), np.int64)
     n, index = len(data), np.arange(len(data))
     alnum = ALNUM[data]
     first = np.minimum.accumulate(np.where(alnum, index, n)[::-1])[::-1]
@@ -79,29 +83,38 @@ def template(data, at):
     digits, uppers, letters = (c[e] - c[s] for c in counts)
     letters = letters - digits
     h = Rolling(BYTE_WORDS[LOWER[data]]).spans(s, e)
-    out = h.copy()
-    out[(UPPER[data[s]]) & (uppers == 1) & (e - s > 1) & ~opens] = NAME
-    out[among(h, UNITS)] = UNIT
-    out[((digits > 0) & (letters <= 3) & DIGIT[data[s]]) | among(h, NUMBERS)] = NUMBER
-    return out, h, np.searchsorted(word_doc, np.arange(len(offsets)), "right")
+    out, wide = h.copy(), h.copy()
+    name = (UPPER[data[s]]) & (uppers == 1) & (e - s > 1)
+    unit, number = among(h, UNITS), ((digits > 0) & (letters <= 3) & DIGIT[data[s]]) | among(h, NUMBERS)
+    for t, names in ((out, name & ~opens), (wide, name)):
+        t[names], t[unit], t[number] = NAME, UNIT, NUMBER
+    return out, wide, h, np.searchsorted(word_doc, np.arange(len(offsets)), "right")
 
 
 class Items:
-    """The benchmark: classes of items, and a sorted list of their windows (hash, class, place)."""
+    """The benchmark: classes of items, and a sorted list of their windows (hash, class, place).
+
+    `wide` holds them once more, with first words of sentences as names.
+    """
 
-    def __init__(self, texts: list[tuple[int, str]], window: int):
-        self.ids, self.words, self.values = [], [], []
-        seen, rows = set(), []
+    def __init__(self, texts: list[tuple[int, str]], window: int, wide: bool = False):
+        self.ids, self.words, self.values, self.members = [], [], [], []
+        self.wide = None if wide else Items(texts, window, True)
+        seen, rows = {}, []
         for item, text in texts:
             data = np.frombuffer((text or "").encode(), np.uint8)
-            t, v, _ = template(data, np.array([0, len(data)]))
+            narrow, open_too, v, _ = template(data, np.array([0, len(data)]))
+            t = open_too if wide else narrow
             slots = np.isin(t, [NUMBER, UNIT, NAME])
             _, pattern = np.unique(v[slots], return_inverse=True)
             key = (t.tobytes(), pattern.tobytes())
-            if len(t) < 3 or key in seen:
+            if len(t) < 3:
                 continue
-            seen.add(key)
-            k, width = len(self.ids), min(window, len(t))
+            if key in seen:
+                self.members[seen[key]].add(item)
+                continue
+            k, width = seen.setdefault(key, len(self.ids)), min(window, len(t))
+            self.members.append({item})
             self.ids.append(item)
             self.words.append(t)
             self.values.append(v)
@@ -166,33 +179,43 @@ def match(t, v, items: Items, hits, least: int):
 EVIDENCE = pa.schema([("item_id", pa.int64()), ("words", pa.int64()), ("exact", pa.bool_())])
 
 
+def hits_of(t, offsets, doc_of, items: Items, bits, width_of):
+    """{document: (word, row of items.hash)} of the windows that the benchmark has."""
+    rolling, hits = Rolling(t), {}
+    for width in items.widths:
+        place = np.arange(max(0, len(t) - width + 1))
+        place = place[doc_of[place] == doc_of[place + width - 1]]
+        h = rolling.spans(place, place + width)
+        near = np.flatnonzero(bits[(h >> U64(42)).astype(np.int64)])
+        left, right = (np.searchsorted(items.hash, h[near], side) for side in ("left", "right"))
+        some = right > left
+        for p, a, b in zip(place[near[some]].tolist(), left[some].tolist(), right[some].tolist(), strict=True):
+            d = int(doc_of[p])
+            hits.setdefault(d, []).extend((p - int(offsets[d]), r) for r in range(a, b) if width_of[items.item[r]] == width)
+    return hits
+
+
 def search(batches, shared, least, last):
     """Adds evidence to the last-but-one columns items__, words__, exact__; the text comes last and is left out if `last`."""
-    items: Items = shared.value
-    bits = np.zeros(1 << 22, bool)
-    bits[(items.hash >> U64(42)).astype(np.int64)] = True
-    width_of = np.array([min(WINDOW, len(w)) for w in items.words] or [0])
+    both = (shared.value, shared.value.wide)
+    bits = [np.zeros(1 << 22, bool) for _ in both]
+    for items, b in zip(both, bits, strict=True):
+        b[(items.hash >> U64(42)).astype(np.int64)] = True
+    width_of = [np.array([min(WINDOW, len(w)) for w in items.words] or [0]) for items in both]
     for batch in batches:
         data, at = buffers(batch.column(batch.num_columns - 1))
         found = [list(zip(*x, strict=True)) for x in zip(*(batch.column(i).to_pylist() for i in range(-4, -1)), strict=True)]
         for lo, hi in slabs(at, R.SLAB):
-            t, v, offsets = template(data, at[lo : hi + 1])
+            *templates, v, offsets = template(data, at[lo : hi + 1])
             doc_of = np.repeat(np.arange(hi - lo), np.diff(offsets))
-            rolling, hits = Rolling(t), {}
-            for width in items.widths:
-                place = np.arange(max(0, len(t) - width + 1))
-                place = place[doc_of[place] == doc_of[place + width - 1]]
-                h = rolling.spans(place, place + width)
-                near = np.flatnonzero(bits[(h >> U64(42)).astype(np.int64)])
-                left, right = (np.searchsorted(items.hash, h[near], side) for side in ("left", "right"))
-                some = right > left
-                for p, a, b in zip(place[near[some]].tolist(), left[some].tolist(), right[some].tolist(), strict=True):
-                    d = int(doc_of[p])
-                    hits.setdefault(d, []).extend((p - int(offsets[d]), r) for r in range(a, b) if width_of[items.item[r]] == width)
-            for d, pairs in hits.items():
-                part = slice(int(offsets[d]), int(offsets[d + 1]))
-                best = match(t[part], v[part], items, pairs, least)
-                found[lo + d] += sorted((items.ids[k], n, exact) for k, (n, exact) in best.items())
+            known: dict[int, set] = {}
+            for items, t, b, width in zip(both, templates, bits, width_of, strict=True):
+                for d, pairs in hits_of(t, offsets, doc_of, items, b, width).items():
+                    part = slice(int(offsets[d]), int(offsets[d + 1]))
+                    # a class whose items are known from the narrow templates is no news
+                    best = {k: x for k, x in match(t[part], v[part], items, pairs, least).items() if items is both[0] or not items.members[k] & known.get(d, set())}
+                    known.setdefault(d, set()).update(items.ids[k] for k in best)
+                    found[lo + d] += sorted((items.ids[k], n, exact) for k, (n, exact) in best.items())
         lists = [pa.array([[x[i] for x in f] for f in found], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
         columns = [*batch.columns[:-4], *lists] + ([] if last else [batch.column(batch.num_columns - 1)])
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(columns)])

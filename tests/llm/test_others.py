@@ -118,6 +118,16 @@ def test_decontamination_of_parts_of_a_run(spark):
     assert got == {3: (10, 18, True), 4: (10, 18, False), 5: (None, 0, False), 6: (11, 17, True)}
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    item = "Anna has 3 red apples and 4 green pears. Anna gives 2 to Ben. How many fruits are left?"
+    other = "Omar has 5 red apples and 9 green pears. Omar gives 1 to Lena. How many fruits are left?"
+    mixed = "Omar has 5 red apples and 9 green pears. Lena gives 1 to Lena. Why many fruits are left?"  # two names for one, one for two
+    docs = [(1, other), (2, mixed), (3, "Peter sells 7 old boats"), (4, item.lower().replace("anna", "Anna").replace("ben", "Ben"))]
+    bench = spark.createDataFrame([(10, item), (11, "Maria sells 2 old boats")], "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in op5_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: 10, 2: None, 3: 11, 4: 10}
+
+
 def test_token_shards(spark, tmp_path):
     docs = [(1, "hello world " * 300), (2, ""), (3, None), (None, "x"), (3, "y")]
     pieces = op8_token_shards.materialise(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), length=64, per_shard=4)
