@@ -17,12 +17,8 @@ from .common import stored
 IN_ONE_TASK = 2_000_000
 
 
-def _joined(batches):
-    """Components of the links of all batches, by union of the lesser root."""
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
-    if not parts:
-        return
-    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+def joined(u: np.ndarray, v: np.ndarray):
+    """(node, component) of the links, by union of the lesser root."""
     nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = index[: len(u)], index[len(u) :]
     root = np.arange(len(nodes))
@@ -39,6 +35,12 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], names=["node", "component"])
 
 
+def _joined(batches):
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+    if parts:
+        yield from joined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node hands its least neighbour (or itself) to its larger neighbours, or to its smaller ones and itself.
 
@@ -57,10 +59,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(node, component): the least node that can be reached, for every node with a link. links: (u, v), any direction."""
     links = links.where("u != v").select("u", "v")
-    if links.count() <= IN_ONE_TASK:
+    if links.count() <= in_one_task:
         return links.coalesce(1).mapInArrow(_joined, "node long, component long")
     edges = stored(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
     state = _state(edges)

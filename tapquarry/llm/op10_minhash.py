@@ -2,26 +2,35 @@
 
 Two collections of `halves` half-keys are made, each half-key of three minhashes; a table's key pairs one
 of the first with one of the second. So halves^2 tables of six minhashes come from 6 * halves minhashes.
-Documents with equal shingle sets are one class first. In each table's bucket a centre is compared with
-the others; links are confirmed on full sets. Further rounds look only at buckets that still hold several
-components and take three other centres in each, until a round finds no link. Sets whose sizes alone rule
-out a link are not compared. A pair at the threshold shares no table
-with a probability of 2 * (1 - s^3)^halves: 0.00015 at 0.85 with 10 halves.
+A pair at the threshold s shares no table with a probability of 2 * (1 - s^3)^halves: 0.00015 at 0.85 with 10 halves.
+
+Documents with equal shingle sets are one class first, a node of the graph. Links are confirmed on full sets of
+64-bit shingle hashes, in this order:
+
+1. Each node is compared with the least node of all its buckets (one comparison a node).
+2. What is left are buckets with several components. Buckets of up to `crowded` nodes give their pairs of
+   different components; each pair is compared once.
+3. Nodes of larger buckets meet again by their first half-keys alone, so that a pair meets a few times and not in
+   each of its tables. Nodes outside the group's largest component are a query set, compared with all of the group
+   in blocks of `block` times `block` nodes. A block answers with the components that it joins, never with pairs.
+
+So every pair that shares a table is in one component, ruled out by its sizes, or compared: nothing is capped.
 
 Nulls: a null text has no words and links with nothing; a null doc_id comes before all others and is returned
-as null. Rows that repeat a doc_id share its component. Other columns are ignored; no rows give no rows.
+as null. Rows that repeat a doc_id are nodes by their texts; each has its own component. Other columns are ignored;
+no rows give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import BYTE_WORDS, NULL_ID, Rolling, buffers, mix, partitions, slabs, table
-from .graph import components
+from .common import BYTE_WORDS, NULL_ID, Rolling, buffers, concat_id, mix, partitions, slabs, sql_text, stored, table
+from .graph import components, joined
 
 U64 = np.uint64
 ROWS = 3
@@ -29,13 +38,13 @@ ROWS = 3
 HOT = 32
 ENTRY = ("u8", "i8", "u4")  # key, doc, size of its set
 PAIRED = ("u8", "i8", "u4", "i8")
-#: Centres of a bucket in one round.
-CENTRES = 3
+#: Nodes of a bucket from which they meet in blocks, and nodes on each side of a block.
+CROWDED, BLOCK = 16, 512
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.binary())])
-SIGNATURE_DDL = "doc_id long, n_shingles long, s1 long, s2 long, keys binary"
-LIVE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("centre", pa.int64())])
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.binary())])
+SIGNATURE_DDL = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, keys binary"
+LIVE = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("centre", pa.int64())])
 
 
 def shingles(data, at, k):
@@ -70,8 +79,8 @@ def half_keys(h, offsets, halves):
 
 def sign(batches, k, halves):
     for batch in batches:
-        ids = np.asarray(batch.column(0))
-        data, at = buffers(batch.column(1))
+        ids, hashes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        data, at = buffers(batch.column(2))
         for lo, hi in slabs(at, R.SLAB):
             h, offsets = shingles(data, at[lo : hi + 1], k)
             n = np.diff(offsets)
@@ -82,7 +91,7 @@ def sign(batches, k, halves):
                 s1[some], s2[some] = (np.add.reduceat(mix(h + U64(c)), full[:-1]) for c in (11, 13))
                 for i, row in zip(some.tolist(), half_keys(h, full, halves), strict=True):
                     keys[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(keys, pa.binary())], schema=SIGNATURE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(hashes[lo:hi]), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(keys, pa.binary())], schema=SIGNATURE)
 
 
 def gathered(key, doc, n, percent):
@@ -146,109 +155,185 @@ def meet(batches, percent):
             yield pa.RecordBatch.from_arrays([pa.array(c[part].astype(np.int64) if c.dtype != U64 else c[part].view(np.int64)) for c in columns], schema=LIVE)
 
 
-def confirm(batches, k, percent):
+def sets_of(batches, k):
+    """node and its sorted shingle hashes, from node and text."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    for batch in batches:
+        node = np.asarray(batch.column(0))
+        data, at = buffers(batch.column(1))
+        for lo, hi in slabs(at, R.SLAB):
+            h, offsets = shingles(data, at[lo : hi + 1], k)
+            found = [h[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi]), pa.array(found, pa.binary())], schema=schema)
+
+
+def confirm(batches, percent):
     """Pairs (u, v) whose full sets reach the threshold."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     for batch in batches:
-        u, v = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        (da, aa), (db, ab) = buffers(batch.column(2)), buffers(batch.column(3))
-        keep, last, one = np.zeros(len(u), bool), None, None
-        for lo, hi in slabs(ab, R.SLAB):
-            h, offsets = shingles(db, ab[lo : hi + 1], k)
-            for i in range(lo, hi):
-                if last != u[i]:
-                    last, (one, _) = u[i], shingles(da, aa[i : i + 2], k)
-                other = h[offsets[i - lo] : offsets[i - lo + 1]]
-                if 100 * min(len(one), len(other)) < percent * max(len(one), len(other)) or not len(one):
-                    continue
-                at = np.minimum(np.searchsorted(one, other), len(one) - 1)
-                both = int((one[at] == other).sum())
-                keep[i] = 100 * both >= percent * (len(one) + len(other) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], schema=schema)
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs (u, v) distinct; texts (doc, text) of representatives."""
-    one = pairs.join(texts.select(F.col("doc").alias("v"), F.col("text").alias("text_v")), "v")
-    both = one.join(texts.select(F.col("doc").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(lambda it: confirm(it, k, percent), "u long, v long")
-
-
-def open_pairs(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (u, v) for another look. labelled: key, doc, n, c (the component so far).
-
-    In a bucket of several components, members outside the largest one meet CENTRES of its members, others in
-    each turn, and in a shuffled order each component's first centre meets the next one's. So pairs grow with
-    the members outside, never with the product of two components.
-    """
-    h = [F.xxhash64("doc", F.lit(turn), F.lit(i)) for i in range(CENTRES)]
-    parts = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), *[F.min_by("doc", h[i]).alias(f"d{i}") for i in range(CENTRES)], *[F.min_by("n", h[i]).alias(f"n{i}") for i in range(CENTRES)])
-    by_size = Window.partitionBy("key").orderBy(F.desc("m"), "c")
-    shuffled = Window.partitionBy("key").orderBy(F.xxhash64("c", F.lit(turn)), "c")
-    parts = parts.withColumns({"place": F.row_number().over(by_size), "second": F.lead("m").over(by_size), "next_d": F.lead("d0").over(shuffled), "next_n": F.lead("n0").over(shuffled)})
-    fit = f"100 * least({{a}}, {{b}}) >= {percent} * greatest({{a}}, {{b}})"
-    chain = parts.where("next_d is not null and " + fit.format(a="n0", b="next_n")).select(F.least("d0", "next_d").alias("u"), F.greatest("d0", "next_d").alias("v"))
-    largest = parts.where("place = 1 and second is not null").select(F.col("key").alias("k"), F.col("c").alias("big"), F.array(*[F.struct(F.col(f"d{i}").alias("d"), F.col(f"n{i}").alias("n")) for i in range(CENTRES)]).alias("centres"))
-    outside = labelled.join(largest, (F.col("key") == F.col("k")) & (F.col("c") != F.col("big"))).select("doc", "n", F.explode("centres").alias("o")).where(fit.format(a="n", b="o.n"))
-    return chain.unionByName(outside.select(F.least("doc", "o.d").alias("u"), F.greatest("doc", "o.d").alias("v"))).where("u != v").distinct()
-
-
-def crossing(labelled: DataFrame, percent: int) -> DataFrame:
-    """All pairs (u, v) of different components in a bucket that sizes do not rule out."""
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    some = labelled.join(mixed, "key", "left_semi")
-    other = some.select("key", F.col("doc").alias("d"), F.col("n").alias("m"), F.col("c").alias("o"))
-    both = some.join(other, "key").where(f"c < o and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    return both.select(F.least("doc", "d").alias("u"), F.greatest("doc", "d").alias("v")).distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves: int = 10, hot: int = HOT) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links), kept, n_links
-    (confirmed links of the document's class that the rounds needed)."""
-    spark, docs = docs.sparkSession, R.documents_of(docs)
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            one, other = (np.frombuffer(x.as_buffer(), U64) for x in (a, b))
+            at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+            both = int((one[at] == other).sum())
+            keep[i] = 100 * both >= percent * (len(one) + len(other) - both)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], schema=schema)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) that are links."""
+    one = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = one.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").select("u", "v", "a", "b")
+    return both.mapInArrow(lambda it: confirm(it, percent), "u long, v long")
+
+
+#: Products of a shingle's occurrences on both sides of a block above which it is counted by a matrix product.
+FREQUENT = 4096
+
+
+def common_shingles(asked, there):
+    """Matrix of the sizes of all intersections of two lists of sorted sets."""
+    out = np.zeros((len(asked), len(there)), np.float32)
+    known = np.unique(np.concatenate(asked))
+    sides = []
+    for sets in (asked, there):
+        owner, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+        some = known[at] == token
+        order = np.argsort(at[some], kind="stable")
+        sides.append((owner[some][order], at[some][order], np.bincount(at[some], minlength=len(known))))
+    (a, ta, na), (b, tb, nb) = sides
+    frequent = np.flatnonzero(na * nb > FREQUENT)
+    for lo in range(0, len(frequent), 1024):
+        part = frequent[lo : lo + 1024]
+        dense = []
+        for owner, token, n in ((a, ta, len(asked)), (b, tb, len(there))):
+            at = np.minimum(np.searchsorted(part, token), len(part) - 1)
+            m = np.zeros((n, len(part)), np.float32)
+            some = part[at] == token
+            m[owner[some], at[some]] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    # the others pair by pair
+    start_b = np.concatenate([[0], np.cumsum(nb)])
+    left = np.flatnonzero((na * nb <= FREQUENT)[ta] & (nb[ta] > 0))
+    for lo in range(0, len(left), 4096):
+        i = left[lo : lo + 4096]
+        n = nb[ta[i]]
+        row = np.repeat(a[i], n)
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start_b[ta[i]], n)
+        np.add.at(out, (row, b[j]), 1)
+    return out
+
+
+def compare(batches, percent):
+    """Components joined in each block: (u, v). Rows: task, asked, c (component), shingles; sorted by task."""
+
+    def blocks():
+        task, held = None, []
+        for batch in batches:
+            for t, asked, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if t != task and held:
+                    yield held
+                    held = []
+                task = t
+                held.append((asked, c, np.frombuffer(x.as_py(), U64)))
+        if held:
+            yield held
+
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    for held in blocks():
+        (qc, q), (rc, r) = ([[h[i] for h in held if h[0] == side] for i in (1, 2)] for side in (True, False))
+        if not q or not r:
+            continue
+        both = common_shingles(q, r).astype(np.int64)
+        sizes = np.array([len(x) for x in q])[:, None] + np.array([len(x) for x in r])[None, :]
+        i, j = np.nonzero(100 * both >= percent * (sizes - both))
+        u, v = np.array(qc, np.int64)[i], np.array(rc, np.int64)[j]
+        apart = u != v
+        for b in joined(u[apart], v[apart]):
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0)], schema=schema).filter(pa.array(np.asarray(b.column(0)) != np.asarray(b.column(1))))
+
+
+def pairs_of_small(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components of a bucket that sizes do not rule out. mixed: key, node, n, c."""
+    held = mixed.groupBy("key").agg(F.collect_list(F.struct("c", "node", "n")).alias("all")).select("all", F.explode("all").alias("x"))
+    both = held.select("x", F.explode(F.filter("all", lambda y: (F.col("x.c") < y["c"]) & (100 * F.least("x.n", y["n"]) >= percent * F.greatest("x.n", y["n"])))).alias("y"))
+    return both.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+
+
+def blocks_of_crowded(crowd: DataFrame, classes: DataFrame, sets: DataFrame, halves: int, percent: int, block: int) -> DataFrame:
+    """Components (u, v) that links between crowded nodes join. crowd: node, c, distinct."""
+    half = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("keys", 8 * i + 1, 8).alias("half")) for i in range(halves)])).alias("g")
+    there = stored(crowd.join(classes.select("node", "keys"), "node").select("node", "c", half).select("node", "c", F.xxhash64("g.i", "g.half").alias("g")), "crowd")
+    sizes = there.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
+    sizes = sizes.groupBy("g").agg(F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("most")).where("m > most.m")
+    placed = there.join(sizes, "g").withColumns({"wide": F.ceil(F.col("m") / block).cast("int"), "deep": F.ceil((F.col("m") - F.col("most.m")) / block).cast("int"), "outside": F.col("c") != F.col("most.c")})
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    row, column = F.sequence(F.lit(0), F.col("deep") - 1), F.sequence(F.lit(0), F.col("wide") - 1)
+    rows = placed.select("g", "node", "c", own("wide", 1).alias("x"), F.explode(row).alias("y"), F.lit(False).alias("asked"))
+    asked = placed.where("outside").select("g", "node", "c", F.explode(column).alias("x"), own("deep", 2).alias("y"), F.lit(True).alias("asked"))
+    sent = rows.unionByName(asked).join(sets, "node").select(F.xxhash64("g", "x", "y").alias("task"), "asked", "c", "shingles")
+    return sent.repartition(partitions(crowd.sparkSession), "task").sortWithinPartitions("task").mapInArrow(lambda it: compare(it, percent), "u long, v long").distinct()
+
+
+def labelled_rows(docs: DataFrame, shingle: int, percent: int, halves: int, hot: int, crowded: int, block: int) -> DataFrame:
+    """A row per row of docs: doc_id (NULL_ID for null), text_hash, n_shingles, component (null without shingles), least (struct
+    of the component's first doc_id and text_hash)."""
+    spark = docs.sparkSession
+    docs = R.documents_of(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     n = 2 * partitions(spark)
-    signed = R.stored(docs.mapInArrow(lambda it: sign(it, shingle, halves), SIGNATURE_DDL), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = R.stored(classes, "classes")
-    sent = classes.select("doc", "n_shingles", "keys").mapInArrow(lambda it: send(it, halves, n, percent, hot), "key long, payload binary")
-    live = R.stored(R.dealt(sent).mapInArrow(lambda it: meet(it, percent), "key long, doc long, n long, centre long"), "buckets")
-    # full texts of the representatives that share a bucket
-    needed = live.select("doc").distinct()
-    texts = docs.withColumnRenamed("doc_id", "doc").join(needed, "doc", "left_semi").dropDuplicates(["doc"])
-    texts = R.stored(texts, "texts")
-    tested = R.stored(live.where("doc != centre").select(F.least("doc", "centre").alias("u"), F.greatest("doc", "centre").alias("v")).distinct(), "pairs")
-    links = R.stored(confirmed(tested, texts, shingle, percent), "links")
-    found = R.stored(components(links), "components")
-    turn, last = 0, False
-    while True:
-        turn += 1
-        labelled = live.select("key", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-        pairs = crossing(labelled, percent) if last else open_pairs(labelled, turn, percent)
-        pairs = R.stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        more = R.stored(confirmed(pairs, texts, shingle, percent), "links")
-        some = bool(more.take(1))
-        if some:
-            tested, links = tested.unionByName(pairs), links.unionByName(more)
-            found = R.stored(components(links), "components")
-        if last:
-            break
-        last = not some
-    class_of = classes.select("s1", "s2", "n_shingles", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "doc").alias("component"), "doc")
-    degree = links.select(F.col("u").alias("doc")).unionByName(links.select(F.col("v").alias("doc"))).groupBy("doc").agg(F.count(F.lit(1)).alias("n_links"))
-    class_of = class_of.join(degree, "doc", "left").drop("doc")
-    out = signed.select("doc_id", "s1", "s2", "n_shingles").join(class_of, ["s1", "s2", "n_shingles"], "left")
-    component = F.coalesce("component", "doc_id")
+    signed = stored(docs.mapInArrow(lambda it: sign(it, shingle, halves), SIGNATURE_DDL), "signatures")
+    first = F.struct("doc_id", "text_hash")
+    classes = signed.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min(first).alias("least"), F.min_by("keys", first).alias("keys"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # fixed once written
+    sent = classes.select("node", "n_shingles", "keys").mapInArrow(lambda it: send(it, halves, n, percent, hot), "key long, payload binary")
+    live = stored(R.dealt(sent).mapInArrow(lambda it: meet(it, percent), "key long, node long, n long, centre long"), "buckets")
+    needed = live.select("node").distinct().join(classes.select("node", "least"), "node").select("node", "least.*")
+    texts = docs.join(needed, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text"))  # rows of one node are equal
+    sets = stored(texts.mapInArrow(lambda it: sets_of(it, shingle), "node long, shingles binary"), "sets")
+
+    tested = live.where("node != centre").groupBy(F.col("node").alias("v")).agg(F.min("centre").alias("u")).select("u", "v")
+    found = stored(components(stored(confirmed(tested, sets, percent), "links")), "components")
+    labelled = live.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "m")
+    mixed = stored(labelled.join(keys, "key"), "mixed")
+    more = confirmed(pairs_of_small(mixed.where(F.col("m") <= crowded), percent), sets, percent)
+    crowd = mixed.where(F.col("m") > crowded).select("node", "c").distinct()
+    if crowd.take(1):
+        more = more.unionByName(blocks_of_crowded(crowd, classes, sets, halves, percent, block))
+    more = stored(more, "links")
+    if more.take(1):
+        found = stored(components(more.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+    of_class = classes.join(found, "node", "left").select("s1", "s2", "n_shingles", "least", F.coalesce("component", "node").alias("component"))
+    of_class = of_class.withColumnRenamed("least", "own").join(of_class.groupBy("component").agg(F.min("least").alias("least")), "component")
+    return signed.select("doc_id", "text_hash", "s1", "s2", "n_shingles").join(of_class.drop("own"), ["s1", "s2", "n_shingles"], "left").drop("s1", "s2")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, halves: int = 10, hot: int = HOT, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links), kept."""
+    rows = labelled_rows(docs, shingle, percent, halves, hot, crowded, block)
+    component = F.coalesce("least.doc_id", "doc_id")
     null_id = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null_id(F.col("doc_id")).alias("doc_id"), "n_shingles", null_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, halves: int = 12) -> DataFrame:
-    """One document of each component, the one with the least doc_id; of rows that repeat a doc_id one stays."""
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle, percent, halves)
-    kept = groups.where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept__")).distinct()
-    rows = docs.withColumn("kept__", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return rows.join(kept, "kept__", "left_semi").dropDuplicates(["kept__"]).select(*docs.columns)
+    return rows.select(null_id(F.col("doc_id")).alias("doc_id"), "n_shingles", null_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, halves: int = 12, hot: int = HOT, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+    """One row of each component, that of the least doc_id (nulls first; of unlike texts of one doc_id, that of the least
+    hash; of equal ones, the row with the least other columns). Rows without words all stay."""
+    rows = labelled_rows(docs.select("doc_id", "text"), shingle, percent, halves, hot, crowded, block)
+    own = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    stay = rows.where(F.col("least").isNull() | own).groupBy("doc_id", "text_hash", F.col("least").isNull().alias("wordless")).agg(F.count(F.lit(1)).alias("n"))
+    stay = stored(stay.select(F.col("doc_id").alias("kept_id__"), F.col("text_hash").alias("kept_hash__"), F.when(F.col("wordless"), 1).otherwise(F.col("n")).alias("times__")), "kept")
+    named = docs.withColumns({"kept_id__": concat_id(), "kept_hash__": F.xxhash64(sql_text())})
+    keys = ["kept_id__", "kept_hash__"]
+    out = named.join(stay.where("times__ = 1"), keys, "left_semi").select(*docs.columns)
+    again = stay.where("times__ > 1")
+    if again.take(1):
+        each = named.join(again, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("row__")).select("row__.*")
+        out = out.unionByName(each)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_links")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tapquarry.llm import induced, op3_suffix_dedup, op7_debruijn_dedup, op10_minhash, repeats
-from tapquarry.llm.graph import _joined
+from tapquarry.llm.graph import _joined, components
 
 from . import brute
 
@@ -67,8 +67,8 @@ def test_induced_sorting(monkeypatch, base, tmp_path):
         assert (order.tolist(), lcp.tolist()) == suffixes(t.tolist(), cap)
 
 
-@pytest.mark.parametrize("hot", [2, 32])
-def test_near_duplicates_same_as_brute_force(spark, hot):
+@pytest.mark.parametrize("hot,crowded,block", [(2, 2, 3), (32, 16, 512)])
+def test_near_duplicates_same_as_brute_force(spark, hot, crowded, block):
     rng, docs = random.Random(5), []
     vocabulary = [f"w{i}" for i in range(300)]
     for _ in range(40):
@@ -80,10 +80,11 @@ def test_near_duplicates_same_as_brute_force(spark, hot):
             docs.append((len(docs) * 3, " ".join(own)))
     docs += [(9990, ""), (9991, None), (9992, "a"), (9993, "A"), (9994, "")]
     df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "0 as n", "'k' as keys").coalesce(1)
-    assert sorted(map(tuple, op10_minhash.near_duplicates(df, hot=hot).drop("n_links").collect())) == brute.op10(docs)
+    assert sorted(map(tuple, op10_minhash.near_duplicates(df, hot=hot, crowded=crowded, block=block).collect())) == brute.op10(docs)
 
 
-def test_near_duplicates_of_a_large_family(spark):
+@pytest.mark.parametrize("block", [100, 512])
+def test_near_duplicates_of_a_large_family(spark, block):
     """Several hundred copies of one text, edited on their own, so that their similarity lies around the threshold."""
     rng = random.Random(11)
     base, docs = [f"b{i}" for i in range(300)], []
@@ -93,7 +94,21 @@ def test_near_duplicates_of_a_large_family(spark):
             own[p] = f"d{d}x{p}"
         docs.append((d, " ".join(own)))
     df = spark.createDataFrame(docs, SCHEMA).repartition(3)
-    got = op10_minhash.near_duplicates(df, shingle=1).drop("n_links").collect()
+    got = op10_minhash.near_duplicates(df, shingle=1, block=block).collect()
+    assert sorted(map(tuple, got)) == brute.op10(docs, 1)
+
+
+def test_near_duplicates_along_drifting_chains(spark):
+    """Each document is near the one before it, and the ends are far apart."""
+    rng, docs = random.Random(3), []
+    for chain in range(8):
+        own = [f"c{chain}w{i}" for i in range(200)]
+        for step in range(50):
+            for p in rng.sample(range(200), 9):
+                own[p] = f"c{chain}s{step}p{p}"
+            docs.append((len(docs), " ".join(own)))
+    rng.shuffle(docs)
+    got = op10_minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA), shingle=1, crowded=4, block=7).collect()
     assert sorted(map(tuple, got)) == brute.op10(docs, 1)
 
 
@@ -103,6 +118,45 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [("4", "None", False), ("4", "None", False), ("5", "5", True), ("None", "None", True)]
 
 
+def test_texts_of_one_id_are_judged_each_for_itself(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    near = b + " more"
+    docs = [(7, a), (7, b), (8, near), (9, c), (None, c)]
+    got = op10_minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("7", "7"), ("7", "7"), ("8", "7"), ("9", "None"), ("None", "None")]
+
+
+def test_deduplicated_keeps_unlike_rows(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcde"]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])]
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as kept_id__x", "'n' as node", "2 as component")
+    assert sorted(map(str, op10_minhash.deduplicated(df).collect())) == sorted(map(str, df.collect()))
+    docs += [(None, texts[0])] * 3 + [(1, texts[0] + " z"), (2, ""), (2, ""), (3, None), (None, "")]
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "'n' as node")
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in op10_minhash.deduplicated(df).collect())
+    assert got == sorted([(str(d), str(t)) for d, t in docs[:5]] + [("2", ""), ("2", ""), ("3", "None"), ("None", "")])
+    assert op10_minhash.deduplicated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("in_one_task", [0, 10_000])
+def test_components_by_stars_and_in_one_task(spark, in_one_task):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(250)] + [(1000, x) for x in range(1001, 1100)] + [(5, 5)]
+    root = {x: x for p in links for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long"), in_one_task).collect()}
+    want = {x: find(x) for p in links for x in p}
+    assert {x: c for x, c in want.items() if x in got} == got and all(want[x] == x for x in want.keys() - got.keys())
+
+
 def test_components_of_a_chain():
     import pyarrow as pa
 
