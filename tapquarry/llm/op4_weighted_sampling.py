@@ -1,15 +1,23 @@
 """Document fingerprints by consistent weighted sampling, with DataFrame functions only.
 
-A document's terms are its words in lower case, weighted by their counts. For each of `samples` samples every
-term draws gamma(2,1) variables r and c and a uniform b from its own hash, quantises its weight to
-t = floor(ln w / r + b) and competes with ln c - r (t - b) - r. The sample keeps the least term's (term, t): two
-weightings keep the same pair with the probability of their generalised Jaccard similarity. Likeness is the
-share of equal samples. A text's terms and those of its edited form share their draws.
-
-Documents follow each other by doc_id, nulls first, rows that repeat a doc_id by text. They are cut into blocks
-of doc_ids at quantiles; the first document of a block is also shown to the block before, so that no
-ordering spans the whole table. Empty texts have an empty fingerprint and are alike to each other (1) and
-to nothing else (0). A null text is empty. Other columns are ignored; no rows give no rows.
+A document's terms are its words in lower case, weighted by their counts. A count is cut into levels, up to
+1, 2, 4, 8 and so on; the part that falls into a level is the weight of the pair (term, level). Parts add up, in the lesser
+and the greater of two counts alike, so the generalised Jaccard similarity of the parts is that of the counts.
+
+For each of `samples` samples a pair has gamma(2,1) variables r and c and a uniform b. A weight w, seen from
+the level's full width, is quantised to t = floor(ln w / r + b) and competes with ln c - r (t - b) - r. The sample
+keeps the least pair's (term, level, t): two weightings keep the same with the probability of their similarity.
+Likeness is the share of equal samples. A text's terms and those of its edited form share their draws.
+
+The variables are drawn from the key that the full width gives: a = c exp(-r (1 - b)) is exponential, c - a given a is
+exponential, and so is r - ln(c / a). No lesser weight of the level has a lesser key, so pairs whose a is over
+`slack` / (the text's words) cannot win where a key below that is found, and are left out before the rest is drawn. A
+sample without such a key (exp(-slack) of them) sends its text to a second pass without that bound.
+
+Documents follow each other by doc_id, nulls first, rows that repeat a doc_id by a hash of the text. They are cut into
+blocks at quantiles of both, as many as the bytes ask for; the first document of a block is also shown to the block
+before, so that no ordering spans the whole table. Empty texts have an empty fingerprint and are alike to each
+other (1) and to nothing else (0). A null text is empty. Other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,69 +25,133 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, partitions, table
+from .common import NULL_ID, concat_id, partitions, sql_text, stored, table
 
 SAMPLES = 64
-#: Blocks of doc_ids; their bounds are held on the driver.
-BLOCKS = 512
-MASK = (1 << 24) - 1
-#: A draw is one number: its key (over -72, under 4) in steps of 2^-32 above CODE bits of the hash of (term, t).
-CODE, ABOVE = 23, 128
+#: Bytes of text in a block; blocks for each shuffle partition at least, and at most in all (their first keys pass the driver).
+BLOCK_BYTES, LEAST_BLOCKS, MOST_BLOCKS = 32 << 20, 8, 1 << 16
+#: exp(-SLACK) is the share of samples that need the second pass.
+SLACK = 25.0
+#: A draw is one number: its key (over -124, under 4) in steps of 2^-32 above CODE bits of the hash of (term, level, t).
+CODE, ABOVE = 24, 124
+UNIT = float(1 << 53)
 
 
-def uniform(h, shift: int):
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(MASK).cast("long")) + F.lit(0.5)) / F.lit(float(1 << 24))
+def uniform(h):
+    return (F.shiftrightunsigned(h, 11) + F.lit(0.5)) / F.lit(UNIT)
 
 
-def ordered(docs: DataFrame, blocks: int) -> DataFrame:
+def order_key():
+    """(doc_id, hash of the text) as text that sorts alike."""
+    flipped = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0")
+    return F.concat(flipped(F.col("doc_id")), flipped(F.xxhash64("text")))
+
+
+def starts_of(docs: DataFrame, blocks: int) -> list[str]:
+    """The first key of each block, in order. docs: key."""
+    prefix = F.conv(F.substring("key", 1, 16), 16, 10).cast("decimal(20,0)")
+    cut = docs.select(prefix.alias("id")).agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("q")).first()["q"] if blocks > 1 else []
+    ids = [int(x) for x in cut or []]
+    # an id over several quantiles is cut by its texts' hashes
+    bounds = sorted({f"{x:016X}{(2**64 // ids.count(x)) * i:016X}" for x in set(ids) for i in range(ids.count(x))})
+    starts = docs.groupBy(place(bounds).alias("at")).agg(F.min("key").alias("start"))  # a row per block
+    return sorted(r["start"] for r in starts.collect())
+
+
+def place(bounds: list[str]):
+    """How many of the sorted bounds do not exceed `key`: by whole stretches, then inside one."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    stretches = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda array: F.size(F.filter(array, lambda b: b <= F.col("key")))
+    top = below(F.split(F.lit(",".join(x[0] for x in stretches)), ","))
+    inner = F.split(F.get(F.split(F.lit(";".join(",".join(x) for x in stretches)), ";"), top - 1), ",")
+    return F.when(top == 0, 0).otherwise((top - 1) * width + below(inner))
+
+
+def ordered(docs: DataFrame, blocks: int | None) -> DataFrame:
     """block, rn (place in the block), doc_id, text, next_text, guest (a document shown to the block before)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cut = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("q"), F.min("doc_id").alias("low")).first()
-    bounds, low = sorted(set(cut["q"] or [])), cut["low"]
-    array = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    at = F.size(F.filter(array, lambda b: b <= F.col("doc_id")))
-    last = len(bounds)
-    places = [F.array(F.struct(F.col("at").alias("block"), F.lit(0).alias("turn"), F.lit(False).alias("guest")))]
-    places.append(F.when(F.array_contains(array, F.col("doc_id")), F.array(F.struct((F.col("at") - 1).alias("block"), F.lit(0).alias("turn"), F.lit(True).alias("guest")))).otherwise(F.array()))
-    places.append(F.when(F.col("doc_id") == F.lit(low), F.array(F.struct(F.lit(last).alias("block"), F.lit(1).alias("turn"), F.lit(True).alias("guest")))).otherwise(F.array()))
-    placed = docs.withColumn("at", at).select("doc_id", "text", F.explode(F.concat(*places)).alias("p")).select("p.block", "p.turn", "p.guest", "doc_id", "text")
-    placed = placed.repartition(partitions(docs.sparkSession), "block")
-    w = Window.partitionBy("block").orderBy("turn", "doc_id", "text")
-    return placed.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("turn")
-
-
-def signatures(rows: DataFrame, samples: int) -> DataFrame:
-    """rows: block, rn, own, edited. Adds a list of samples per text: own_slots, edited_slots (arrays of ssxxxx)."""
-    texts = rows.select("block", "rn", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("v")).select("block", "rn", "v.kind", "v.t")
-    terms = texts.select("block", "rn", "kind", F.explode(F.split(F.translate(F.lower("t"), "\t\n\x0b\f\r", "     "), " ")).alias("word")).where("word != ''")
-    terms = terms.select("block", "rn", "kind", F.xxhash64("word").alias("term")).groupBy("block", "rn", "term").agg(*[F.ln(F.count(F.when(F.col("kind") == k, 1))).alias(f"w{k}") for k in (0, 1)])
-    drawn = terms.withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(samples)])))
-    drawn = drawn.withColumn("h1", F.xxhash64("term", "slot")).withColumn("h2", F.xxhash64("h1", F.lit(1)))
-    drawn = drawn.withColumn("r", -F.ln(uniform(F.col("h1"), 0) * uniform(F.col("h1"), 24))).withColumn("log_c", F.ln(-F.ln(uniform(F.col("h2"), 0) * uniform(F.col("h2"), 24))))
-    drawn = drawn.withColumn("b", uniform(F.xxhash64("h1", F.lit(2)), 0)).withColumns({f"t{k}": F.floor(F.col(f"w{k}") / F.col("r") + F.col("b")) for k in (0, 1)})
+    spark = docs.sparkSession
+    docs = docs.select(concat_id().alias("doc_id"), sql_text().alias("text")).withColumn("key", order_key())
+    if blocks is None:
+        total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        blocks = max(LEAST_BLOCKS * partitions(spark), min(MOST_BLOCKS, total // BLOCK_BYTES))
+    starts = starts_of(docs.select("key"), blocks)
+    last = max(0, len(starts) - 1)
+    here = lambda block, turn, guest: F.struct(block.cast("int").alias("block"), F.lit(turn).alias("turn"), F.lit(guest).alias("guest"))
+    at = F.greatest(place(starts) - 1, F.lit(0))
+    is_start = F.array_contains(F.split(F.lit(",".join(starts)), ","), F.col("key")) if len(starts) < 64 else F.get(F.split(F.lit(",".join(starts)), ","), F.col("at")) == F.col("key")
+    placed = docs.withColumn("at", at).withColumn("is_start", is_start)
+    places = [F.array(here(F.col("at"), 0, False)), F.when(F.col("is_start") & (F.col("at") > 0), F.array(here(F.col("at") - 1, 0, True))).otherwise(F.array())]
+    places.append(F.when(F.col("is_start") & (F.col("at") == 0), F.array(here(F.lit(last), 1, True))).otherwise(F.array()))
+    placed = placed.select("doc_id", "text", "key", F.explode(F.concat(*places)).alias("p")).select("p.block", "p.turn", "p.guest", "doc_id", "text", "key")
+    placed = placed.repartition(partitions(spark), "block")
+    w = Window.partitionBy("block").orderBy("turn", "key", "guest")
+    return placed.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("turn", "key")
+
+
+def signatures(rows: DataFrame, samples: int, slack: float | None) -> DataFrame:
+    """rows: block, rn, own, edited. block, rn, own_slots, edited_slots (arrays of ssxxxxxx), sure (all samples are the least ones)."""
+    kinds = (0, 1)
+    split = lambda c: F.array_remove(F.split(F.translate(F.lower(c), "\t\n\x0b\f\r", "     "), " "), "")
+    texts = rows.select("block", "rn", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), split(c).alias("words")) for k, c in zip(kinds, ("own", "edited"), strict=True)])).alias("v"))
+    texts = texts.select("block", "rn", "v.kind", F.size("v.words").alias("size"), F.explode("v.words").alias("word"))
+    of = lambda k, c: F.when(F.col("kind") == k, c)
+    counts = [F.count(of(k, F.lit(1))).alias(f"n{k}") for k in kinds] + [F.max(of(k, F.col("size"))).alias(f"size{k}") for k in kinds]
+    terms = texts.select("block", "rn", "kind", "size", F.xxhash64("word").alias("term")).groupBy("block", "rn", "term").agg(*counts)
+    levels = terms.withColumn("level", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest("n0", "n1"))).cast("int"))))
+    levels = levels.withColumn("base", F.when(F.col("level") == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("level") - 1))).withColumn("width", F.greatest("base", F.lit(1.0)))
+    levels = levels.withColumns({f"w{k}": F.when(F.col(f"n{k}") > F.col("base"), F.least(F.col(f"n{k}") - F.col("base"), F.col("width")) / F.col("width")) for k in kinds})
+    if slack is None:
+        levels = levels.withColumn("bound", F.lit(1 << 53))
+    else:
+        reach = F.greatest(*[F.when(F.col(f"w{k}").isNotNull(), F.lit(slack) / F.col(f"size{k}")) for k in kinds]) * F.col("width")
+        levels = levels.withColumn("bound", F.ceil(-F.expm1(-reach) * F.lit(UNIT)).cast("long"))
+    levels = levels.select("block", "rn", "term", "level", "bound", F.log("width").alias("log_width"), *[F.log(f"w{k}").alias(f"w{k}") for k in kinds], *[F.col(f"size{k}") for k in kinds])
+    drawn = levels.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("h", F.xxhash64("term", "level", "slot"))
+    drawn = drawn.where(F.shiftrightunsigned("h", 11) < F.col("bound"))
+    drawn = drawn.withColumn("a", -F.log1p(-uniform(F.col("h"))))
+    drawn = drawn.withColumn("c", F.col("a") - F.log(uniform(F.xxhash64("h", F.lit(1))))).withColumn("q", F.log(F.col("c") / F.col("a")))
+    drawn = drawn.withColumn("r", F.col("q") - F.log(uniform(F.xxhash64("h", F.lit(2))))).withColumn("b", 1 - F.col("q") / F.col("r"))
+    drawn = drawn.withColumns({f"t{k}": F.floor(F.col(f"w{k}") / F.col("r") + F.col("b")) for k in kinds})
+
+    def key(k):
+        return F.log("c") - F.col("r") * (F.col(f"t{k}") - F.col("b") + 1) - F.col("log_width")
 
     def draw(k):
-        t = F.col(f"t{k}")
-        key = F.col("log_c") - F.col("r") * (t - F.col("b")) - F.col("r")
-        return F.shiftleft(((key + F.lit(float(ABOVE))) * F.lit(float(1 << 32))).cast("long"), CODE).bitwiseOR(F.xxhash64("h1", t).bitwiseAND(F.lit((1 << CODE) - 1).cast("long")))
+        place = F.floor((key(k) + F.lit(float(ABOVE))) * F.lit(float(1 << 32))).cast("long")
+        return F.shiftleft(place, CODE).bitwiseOR(F.xxhash64("h", F.col(f"t{k}")).bitwiseAND(F.lit((1 << CODE) - 1).cast("long")))
 
-    # a term that a text lacks has no weight (the logarithm of 0 is null), and so no draw
-    drawn = drawn.select("block", "rn", "slot", *[F.when(F.col(f"w{k}").isNotNull(), draw(k)).alias(f"v{k}") for k in (0, 1)])
-    least = drawn.groupBy("block", "rn", "slot").agg(F.min("v0").alias("v0"), F.min("v1").alias("v1"))
+    # a pair that a text lacks has no weight, and so no draw
+    draws = [F.when(F.col(f"w{k}").isNotNull(), draw(k)).alias(f"v{k}") for k in kinds]
+    least = drawn.select("block", "rn", "slot", *draws, *[F.col(f"size{k}") for k in kinds]).groupBy("block", "rn", "slot").agg(*[F.min(f"v{k}").alias(f"v{k}") for k in kinds], *[F.max(f"size{k}").alias(f"size{k}") for k in kinds])
 
     def code(k):
         v = F.col(f"v{k}")
-        return F.when(v.isNotNull(), F.concat(F.lpad(F.hex(F.col("slot").cast("long")), 2, "0"), F.lpad(F.hex(v.bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0")))
+        return F.when(v.isNotNull(), F.concat(F.lpad(F.hex(F.col("slot").cast("long")), 2, "0"), F.lpad(F.hex(v.bitwiseAND(F.lit((1 << CODE) - 1).cast("long"))), 6, "0")))
+
+    def sure(k):
+        """Whether the least key is below the bound; half a unit covers the steps."""
+        bound = F.floor((F.log(F.lit(slack) / F.col(f"size{k}")) + F.lit(float(ABOVE))) * F.lit(float(1 << 32))).cast("long") - 1
+        return F.col(f"size{k}").isNull() | F.coalesce(F.shiftright(f"v{k}", CODE) < bound, F.lit(False))
 
-    return least.groupBy("block", "rn").agg(*[F.sort_array(F.collect_list(code(k))).alias(n) for k, n in ((0, "own_slots"), (1, "edited_slots"))])
+    slots = [F.sort_array(F.collect_list(code(k))).alias(n) for k, n in zip(kinds, ("own_slots", "edited_slots"), strict=True)]
+    if slack is None:
+        return least.groupBy("block", "rn").agg(*slots, F.lit(True).alias("sure"))
+    found = least.withColumn("sure", sure(0) & sure(1))
+    out = found.groupBy("block", "rn").agg(*slots, F.min("sure").alias("sure"), *[F.max(f"size{k}").alias(f"size{k}") for k in kinds])
+    whole = lambda k, n: F.col(f"size{k}").isNull() | (F.size(n) == samples)
+    return out.select("block", "rn", "own_slots", "edited_slots", (F.col("sure") & whole(0, "own_slots") & whole(1, "edited_slots")).alias("sure"))
 
 
 def likeness(a, b):
-    used = F.size(F.array_union(F.transform(a, lambda x: F.substring(x, 1, 2)), F.transform(b, lambda x: F.substring(x, 1, 2))))
-    return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
+    """Share of equal samples; a text without words has none."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int = BLOCKS) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = None, slack: float = SLACK) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = ordered(docs, blocks)
     n = F.char_length("text")
@@ -87,10 +159,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int = BLOCKS)
     edited = F.when(F.col("guest"), F.lit("")).otherwise(F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m)))
     rows = rows.select("block", "rn", "doc_id", "guest", n.cast("long").alias("n_chars"), F.col("text").alias("own"), edited.alias("edited"))
     none = F.array().cast("array<string>")
-    slots = signatures(rows, samples)
-    # every row takes part, so that the next one's fingerprint is the next row's
     facts = rows.select("block", "rn", "doc_id", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    both = facts.join(slots, ["block", "rn"], "left").withColumns({c: F.coalesce(c, none) for c in ("own_slots", "edited_slots")})
+    # every row takes part, so that the next one's fingerprint is the next row's
+    both = facts.join(signatures(rows, samples, slack), ["block", "rn"], "left").withColumns({c: F.coalesce(c, none) for c in ("own_slots", "edited_slots")})
+    both = stored(both, "fingerprints")
+    unsure = both.where("not sure").select("block", "rn")
+    if unsure.take(1):
+        again = signatures(rows.join(unsure, ["block", "rn"], "left_semi"), samples, None).select("block", "rn", F.col("own_slots").alias("own_again"), F.col("edited_slots").alias("edited_again"))
+        both = both.join(again, ["block", "rn"], "left").withColumns({"own_slots": F.coalesce("own_again", "own_slots"), "edited_slots": F.coalesce("edited_again", "edited_slots")})
     both = both.withColumn("next_slots", F.lead("own_slots").over(Window.partitionBy("block").orderBy("rn"))).where(~F.col("guest"))
     return both.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", F.concat_ws(" ", "own_slots").alias("fingerprint"), F.concat_ws(" ", "edited_slots").alias("edited_fingerprint"), likeness(F.col("own_slots"), F.col("edited_slots")).alias("near_edited"), likeness(F.col("own_slots"), F.col("next_slots")).alias("near_next"))
 

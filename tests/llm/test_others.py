@@ -1,6 +1,7 @@
 import glob
 import hashlib
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -97,6 +98,31 @@ def test_likeness_on_skewed_counts(spark, n, heavy, other):
     assert abs(np.mean([r["near_next"] for r in rows if r["doc_id"] % 2 == 0]) - np.mean(truth)) < 0.05
 
 
+@pytest.mark.parametrize("slack", [0.5, 3.0])
+def test_samples_do_not_depend_on_the_first_bound(spark, slack):
+    """Whatever the bound leaves out, a second pass finds: the fingerprints are those of all draws."""
+    rng = np.random.default_rng(2)
+    docs = [(int(i // 2), " ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(0, 90))) % 300)) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    columns = ["doc_id", "n_chars", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    few, all_ = (sorted(map(tuple, op4_weighted_sampling.fingerprints(df, blocks=b, slack=s).select(*columns).collect())) for b, s in ((3, slack), (1, 1e6)))
+    assert few == all_
+
+
+def test_likeness_against_exact_similarity_of_whole_documents(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r["doc_id"]: r["near_edited"] for r in op4_weighted_sampling.query(spark, SF).collect()}
+    short, long_ = [], []
+    for i, (d, t) in enumerate(docs):
+        m = len(t) // 4
+        a, b = (Counter(x.lower().translate(str.maketrans("\t\n\x0b\f\r", "     ")).split(" ")) for x in (t, t[: len(t) - m] + docs[(i + 1) % len(docs)][1][:m]))
+        del a[""], b[""]
+        truth = sum((a & b).values()) / max(1, sum((a | b).values())) if a or b else 1.0
+        (short if len(a) < 32 else long_).append(got[d] - truth)
+    for error in (short, long_):
+        assert abs(np.mean(error)) < 0.03 and np.sqrt(np.mean(np.square(error))) < 0.075, (np.mean(error), len(error))
+
+
 def test_decontamination(spark):
     item = "A train leaves at 9 with 120 riders and 9 more board in Paris so how many minutes until all riders leave again"
     other = item.replace("9", "4").replace("120", "77").replace("Paris", "Oslo")
