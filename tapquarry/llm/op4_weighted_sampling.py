@@ -29,7 +29,9 @@ from .common import NULL_ID, concat_id, partitions, sql_text, stored, table
 
 SAMPLES = 64
 #: Bytes of text in a block; blocks for each shuffle partition at least, and at most in all (their first keys pass the driver).
-BLOCK_BYTES, LEAST_BLOCKS, MOST_BLOCKS = 32 << 20, 8, 1 << 16
+BLOCK_BYTES, LEAST_BLOCKS, MOST_BLOCKS = 32 << 20, 16, 1 << 16
+#: Tasks for each shuffle partition in the stage that counts and draws.
+TASKS = 4
 #: exp(-SLACK) is the share of samples that need the second pass.
 SLACK = 25.0
 #: A draw is one number: its key (over -124, under 4) in steps of 2^-32 above CODE bits of the hash of (term, level, t).
@@ -85,14 +87,15 @@ def ordered(docs: DataFrame, blocks: int | None) -> DataFrame:
     placed = docs.withColumn("at", at).withColumn("is_start", is_start)
     places = [F.array(here(F.col("at"), 0, False)), F.when(F.col("is_start") & (F.col("at") > 0), F.array(here(F.col("at") - 1, 0, True))).otherwise(F.array())]
     places.append(F.when(F.col("is_start") & (F.col("at") == 0), F.array(here(F.lit(last), 1, True))).otherwise(F.array()))
-    placed = placed.select("doc_id", "text", "key", F.explode(F.concat(*places)).alias("p")).select("p.block", "p.turn", "p.guest", "doc_id", "text", "key")
-    placed = placed.repartition(partitions(spark), "block")
+    placed = placed.select("text", "key", F.explode(F.concat(*places)).alias("p")).select("p.block", "p.turn", "p.guest", "text", "key")
+    placed = placed.repartition(TASKS * partitions(spark), "block")  # all that follows needs the same columns, so one exchange serves all
     w = Window.partitionBy("block").orderBy("turn", "key", "guest")
-    return placed.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).drop("turn", "key")
+    doc_id = (F.conv(F.substring("key", 1, 16), 16, 10).cast("decimal(20,0)") - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long")
+    return placed.withColumn("rn", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w)).withColumn("doc_id", doc_id).drop("turn", "key")
 
 
 def signatures(rows: DataFrame, samples: int, slack: float | None) -> DataFrame:
-    """rows: block, rn, own, edited. block, rn, own_slots, edited_slots (arrays of ssxxxxxx), sure (all samples are the least ones)."""
+    """rows: block, rn, own, edited. block, rn, own_slots, edited_slots (arrays of slot and code in one number), sure (all samples are the least ones)."""
     kinds = (0, 1)
     split = lambda c: F.array_remove(F.split(F.translate(F.lower(c), "\t\n\x0b\f\r", "     "), " "), "")
     texts = rows.select("block", "rn", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), split(c).alias("words")) for k, c in zip(kinds, ("own", "edited"), strict=True)])).alias("v"))
@@ -129,7 +132,7 @@ def signatures(rows: DataFrame, samples: int, slack: float | None) -> DataFrame:
 
     def code(k):
         v = F.col(f"v{k}")
-        return F.when(v.isNotNull(), F.concat(F.lpad(F.hex(F.col("slot").cast("long")), 2, "0"), F.lpad(F.hex(v.bitwiseAND(F.lit((1 << CODE) - 1).cast("long"))), 6, "0")))
+        return F.when(v.isNotNull(), F.shiftleft("slot", CODE).bitwiseOR(v.bitwiseAND(F.lit((1 << CODE) - 1).cast("long")).cast("int")))
 
     def sure(k):
         """Whether the least key is below the bound; half a unit covers the steps."""
@@ -158,7 +161,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
     m = F.floor(n / 4).cast("int")
     edited = F.when(F.col("guest"), F.lit("")).otherwise(F.concat(F.substring("text", F.lit(1), n - m), F.substring("next_text", F.lit(1), m)))
     rows = rows.select("block", "rn", "doc_id", "guest", n.cast("long").alias("n_chars"), F.col("text").alias("own"), edited.alias("edited"))
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<int>")
     facts = rows.select("block", "rn", "doc_id", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     # every row takes part, so that the next one's fingerprint is the next row's
     both = facts.join(signatures(rows, samples, slack), ["block", "rn"], "left").withColumns({c: F.coalesce(c, none) for c in ("own_slots", "edited_slots")})
@@ -168,7 +171,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, blocks: int | None = N
         again = signatures(rows.join(unsure, ["block", "rn"], "left_semi"), samples, None).select("block", "rn", F.col("own_slots").alias("own_again"), F.col("edited_slots").alias("edited_again"))
         both = both.join(again, ["block", "rn"], "left").withColumns({"own_slots": F.coalesce("own_again", "own_slots"), "edited_slots": F.coalesce("edited_again", "edited_slots")})
     both = both.withColumn("next_slots", F.lead("own_slots").over(Window.partitionBy("block").orderBy("rn"))).where(~F.col("guest"))
-    return both.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", F.concat_ws(" ", "own_slots").alias("fingerprint"), F.concat_ws(" ", "edited_slots").alias("edited_fingerprint"), likeness(F.col("own_slots"), F.col("edited_slots")).alias("near_edited"), likeness(F.col("own_slots"), F.col("next_slots")).alias("near_next"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")), " ")
+    return both.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", text("own_slots").alias("fingerprint"), text("edited_slots").alias("edited_fingerprint"), likeness(F.col("own_slots"), F.col("edited_slots")).alias("near_edited"), likeness(F.col("own_slots"), F.col("next_slots")).alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
