@@ -50,10 +50,9 @@ def order_key():
 
 
 def starts_of(docs: DataFrame, blocks: int) -> list[str]:
-    """The first key of each block, in order. docs: key."""
-    prefix = F.conv(F.substring("key", 1, 16), 16, 10).cast("decimal(20,0)")
-    cut = docs.select(prefix.alias("id")).agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("q")).first()["q"] if blocks > 1 else []
-    ids = [int(x) for x in cut or []]
+    """The first key of each block, in order. docs: doc_id, key."""
+    cut = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks).alias("q")).first()["q"] if blocks > 1 else []
+    ids = [x + 2**63 for x in cut or []]
     # an id over several quantiles is cut by its texts' hashes
     bounds = sorted({f"{x:016X}{(2**64 // ids.count(x)) * i:016X}" for x in set(ids) for i in range(ids.count(x))})
     starts = docs.groupBy(place(bounds).alias("at")).agg(F.min("key").alias("start"))  # a row per block
@@ -79,7 +78,7 @@ def ordered(docs: DataFrame, blocks: int | None) -> DataFrame:
     if blocks is None:
         total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         blocks = max(LEAST_BLOCKS * partitions(spark), min(MOST_BLOCKS, total // BLOCK_BYTES))
-    starts = starts_of(docs.select("key"), blocks)
+    starts = starts_of(docs.select("doc_id", "key"), blocks)
     last = max(0, len(starts) - 1)
     here = lambda block, turn, guest: F.struct(block.cast("int").alias("block"), F.lit(turn).alias("turn"), F.lit(guest).alias("guest"))
     at = F.greatest(place(starts) - 1, F.lit(0))
