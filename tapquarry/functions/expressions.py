@@ -45,10 +45,6 @@ def float32(bits: Column) -> Column:
     return F.when(exponent == 255, special).when(exponent == 0, small).otherwise(normal).cast("float")
 
 
-def float32_le(raw: Column, at) -> Column:
-    return float32(word32_le(raw, at))
-
-
 def bit_of(status: Column, bit: Column) -> Column:
     return F.expr("1") == F.call_function("shiftright", status, bit).bitwiseAND(F.lit(1))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapquarry.functions.expressions import bucket_edge, log_bucket
+from tapquarry.functions.expressions import bucket_edge, ethertype_name, ethertype_status, log_bucket
 from tapquarry.operators.ordered import lagged
 
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 MIN_SAMPLES = 30
+TOGGLES_SHOWN = 16
 CHUNK_ROWS = 1_000_000
 
 
@@ -60,14 +61,17 @@ def quantiles(with_gaps: DataFrame, keys: list[str], wanted: dict[str, float] =
 def toggles(cyclic: DataFrame, keys: list[str]) -> DataFrame:
     """keys, byte_index, bit_index of bits that are not constant, within the first payload's length.
 
-    cyclic: rows with `payload` (BINARY) and `frame_no`. A bit toggles if or and and of its byte differ.
+    cyclic: rows with `payload` (BINARY) and `frame_no`. A row per eight bytes of a payload folds with or and and; a bit
+    toggles if the two differ. Bytes beyond a payload's end count in neither.
     """
-    first = cyclic.groupBy(*keys).agg(F.min_by(F.length("payload"), "frame_no").alias("first_len"))
-    each = cyclic.select(*keys, F.expr("explode(sequence(0, length(payload) - 1))").alias("byte_index"), "payload")
-    value = F.conv(F.hex(F.expr("substring(payload, byte_index + 1, 1)")), 16, 10).cast("int")
-    mask = each.groupBy(*keys, "byte_index").agg(F.bit_or(value).alias("o"), F.bit_and(value).alias("a"))
-    mask = mask.join(first, keys).where("byte_index < first_len").withColumn("mask", F.expr("o ^ a"))
-    return mask.select(*keys, "byte_index", F.explode(F.expr("filter(sequence(0, 7), b -> (shiftright(mask, b) & 1) = 1)")).alias("bit_index"))
+    each = cyclic.select(*keys, "frame_no", F.length("payload").alias("size"), "payload", F.expr("explode(sequence(0, greatest(0, length(payload) - 1) div 8))").alias("word"))
+    part = F.hex(F.expr("substring(payload, word * 8 + 1, 8)"))
+    fold = lambda fill: F.conv(F.rpad(part, 16, fill), 16, -10).cast("long")
+    masks = each.groupBy(*keys, "word").agg(F.bit_or(fold("0")).alias("o"), F.bit_and(fold("F")).alias("a"), F.min_by("size", "frame_no").alias("first_len"))
+    first = masks.groupBy(*keys).agg(F.max(F.when(F.col("word") == 0, F.col("first_len"))).alias("first_size"))
+    masks = masks.join(first, keys).withColumn("mask", F.expr("o ^ a"))
+    bits = F.expr("filter(transform(sequence(0, 63), b -> named_struct('byte_index', cast(word * 8 + b div 8 as int), 'bit_index', b % 8, 'set', (shiftrightunsigned(mask, (7 - cast(b div 8 as int)) * 8 + b % 8) & 1) = 1)), x -> x.set and x.byte_index < first_size)")
+    return masks.select(*keys, F.explode(bits).alias("b")).select(*keys, "b.byte_index", "b.bit_index")
 
 
 def profile(decoded: DataFrame) -> DataFrame:
@@ -80,6 +84,15 @@ def profile(decoded: DataFrame) -> DataFrame:
     return out.orderBy("capture_id", "kind_rank", "stream_id")
 
 
+def report(profiles: DataFrame, shown: int = TOGGLES_SHOWN) -> DataFrame:
+    """The profile with `toggles` as text, byte.bit, the first `shown` of them, and how many there are."""
+    text = F.transform(F.slice(F.col("toggles"), 1, shown), lambda x: F.concat_ws(".", x["byte_index"], x["bit_index"]))
+    return profiles.withColumn("n_toggles", F.coalesce(F.size("toggles"), F.lit(0))).withColumn("toggles", F.array_join(text, " "))
+
+
 def rejected(decoded: DataFrame) -> DataFrame:
-    """capture_id, ethertype (null: malformed), n of refused frames, most frequent first."""
-    return decoded.where("parse_error is not null").groupBy("capture_id", "ethertype").agg(F.count(F.lit(1)).alias("n")).orderBy("capture_id", F.desc("n"), "ethertype")
+    """capture_id, ethertype (null: malformed), its name and status, n of refused frames, most frequent first."""
+    counted = decoded.where("parse_error is not null").groupBy("capture_id", "ethertype").agg(F.count(F.lit(1)).alias("n"))
+    et = F.col("ethertype")
+    named = counted.select("capture_id", "ethertype", F.when(et.isNull(), "malformed").otherwise(ethertype_name(et)).alias("name"), F.when(et.isNull(), "unsupported").otherwise(ethertype_status(et)).alias("status"), "n")
+    return named.orderBy("capture_id", F.desc("n"), "ethertype")

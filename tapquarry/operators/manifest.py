@@ -148,6 +148,15 @@ def validate(m: Manifest) -> Manifest:
     return m
 
 
+def outcome(text: str) -> str:
+    """'valid', or the kind of the first failure of a manifest given as JSON."""
+    try:
+        validate(parse(text))
+    except ManifestError as e:
+        return e.kind
+    return "valid"
+
+
 def lint(m: Manifest) -> list[tuple]:
     """(kind, ids...) in a fixed order: unreachable trip, orphans, tight budgets, ambiguous matchers."""
     ends = {x for e in m.edges for x in (e.source, e.target)}
@@ -185,10 +194,22 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 
+def budgets(edges: DataFrame) -> DataFrame:
+    """edge_idx and what is wrong with its budget: bad_budget or tight_budget."""
+    b = F.col("budget_ns")
+    finding = F.when((b <= 0) | (b > MAX_BUDGET_NS), "bad_budget").when(b < TIGHT_BUDGET_NS, "tight_budget")
+    return edges.select("edge_idx", finding.alias("finding")).where("finding is not null")
+
+
+#: Edges that may pass the driver; a manifest has tens.
+MOST_EDGES = 100_000
+
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves; edges are few and come through the driver."""
-    rows = [(r["source"], r["target"]) for r in edges.select("source", "target").collect()]
+    """Nodes that reach themselves; edges are few, which is checked, and come through the driver."""
+    rows = [(r["source"], r["target"]) for r in edges.select("source", "target").limit(MOST_EDGES + 1).collect()]
+    if len(rows) > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges")
     reach = {a: {b for x, b in rows if x == a} for a, _ in rows}
     grown = True
     while grown:

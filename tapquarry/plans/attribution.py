@@ -108,20 +108,20 @@ def walk(found: DataFrame, m: Manifest, lookup) -> DataFrame:
 
 def by_window(trans: DataFrame, found: DataFrame, m: Manifest, cap: int, chunk_ns: int) -> DataFrame:
     sources = sorted({e.source for e in m.edges})
-    known = with_triggers(trans, sources, chunk_ns).select(F.col("capture_id"), F.col("seq").alias("t_seq"), *[F.col(f"trig_{n}").alias(f"t_{n}") for n in sources])
+    known = with_triggers(trans, sources, chunk_ns).select(F.col("capture_id"), F.col("node").alias("t_node"), F.col("seq").alias("t_seq"), *[F.col(f"trig_{n}").alias(f"t_{n}") for n in sources])
 
     def lookup(df, u):
         need = sorted({e.source for _, e in m.incoming[u]})
-        at = known.where(F.lit(True)).select(F.col("capture_id").alias("t_capture"), "t_seq", *[f"t_{n}" for n in need])
+        at = known.where(F.col("t_node") == u).select(F.col("capture_id").alias("t_capture"), "t_seq", *[f"t_{n}" for n in need])
         df = df.join(at, (df["capture_id"] == at["t_capture"]) & (df[f"i_{u}"]["seq"] == at["t_seq"]), "left")
         return df, lambda n: F.when(F.col(f"t_{n}.seq") > F.col("trip_seq") - cap, F.col(f"t_{n}"))
 
     return walk(found, m, lookup)
 
 
-def ring(trans: DataFrame, found: DataFrame, cap: int) -> DataFrame:
-    """found with `ring`: the last cap transitions up to the trip. Rows meet by seq div cap, two buckets for a trip."""
-    rows = trans.select(F.col("capture_id").alias("r_capture"), F.floor(F.col("seq") / cap).alias("r_bucket"), F.col("seq").alias("r_seq"), F.col("node").alias("r_node"), F.col("ts").alias("r_ts"))
+def ring(trans: DataFrame, found: DataFrame, cap: int, sources: list[int]) -> DataFrame:
+    """found with `ring`: those of the last cap transitions up to the trip that are of a node an edge comes from. Rows meet by seq div cap, two buckets for a trip."""
+    rows = trans.where(F.col("node").isin(sources)).select(F.col("capture_id").alias("r_capture"), F.floor(F.col("seq") / cap).alias("r_bucket"), F.col("seq").alias("r_seq"), F.col("node").alias("r_node"), F.col("ts").alias("r_ts"))
     b = F.floor(F.col("trip_seq") / cap)
     near = found.withColumn("bucket", F.explode(F.array(b, b - 1)))
     near = near.join(rows, (near["capture_id"] == rows["r_capture"]) & (near["bucket"] == rows["r_bucket"]) & (F.col("r_seq") <= F.col("trip_seq")) & (F.col("r_seq") > F.col("trip_seq") - cap))
@@ -136,7 +136,7 @@ def by_ring(trans: DataFrame, found: DataFrame, m: Manifest, cap: int) -> DataFr
 
         return df, trigger
 
-    return walk(ring(trans, found, cap), m, lookup)
+    return walk(ring(trans, found, cap, sorted({e.source for e in m.edges})), m, lookup)
 
 
 def backward(trans: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tapquarry.functions import expressions as X
 from tapquarry.operators import decode, discovery, evidence, manifest, preflight
-from tapquarry.operators.manifest import Edge, Manifest
 from tapquarry.plans import attribution as A
 from tapquarry.sources import events, pcap, store
 
@@ -32,12 +31,23 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one of this machine where the session runs on it alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tapquarry-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def trans(spark: SparkSession, d: str, per_user: bool = False) -> DataFrame:
     return A.transitions(events.classified(spark, d, per_user))
 
 
 def evaluated(spark: SparkSession, d: str, cap: int = CAP):
-    t = trans(spark, d).persist()  # read by the trips and by each hop of the walk
+    t = trans(spark, d)
     found = A.trips(t, M.trip_node)
     return t, found, A.candidates(t, found, M, cap, monotone=True)  # ts grows with event_id
 
@@ -193,10 +203,24 @@ def trace_rows(spark, d):
     return evidence.rows(rooted(spark, d))
 
 
-@query("evidence_documents")
+DOCS = f""", lists AS (SELECT capture_id, trip_seq, string_agg(edge_from || '>' || edge_to || ':' || observed_dt_ns, ' ' ORDER BY rank) AS catalysts, count(*)::INT AS n_catalysts FROM ranked GROUP BY ALL),
+lasts AS (SELECT trips.trip_seq, string_agg(seq || '@' || (ts - trip_ts), ' ' ORDER BY seq) AS events FROM trips JOIN tr ON seq <= trip_seq AND seq > trip_seq - {BEFORE} GROUP BY ALL)
+SELECT {TRACE} AS trace_id, rooted.capture_id::VARCHAR AS capture_id, trip_ts, rooted.trip_seq, CASE WHEN edge_from IS NULL THEN 'unattributed' ELSE 'attributable' END AS finding, normalized_overrun AS root_overrun, trigger_seq AS root_trigger,
+  coalesce(catalysts, '') AS catalysts, coalesce(n_catalysts, 0)::INT AS n_catalysts, events, '{evidence.SAFETY_FUNCTION}' AS safety_function_id, {RESPONSE} AS response_time_ns, {evidence.RESPONSE_BUDGET_NS}::BIGINT AS response_budget_ns, {WITHIN} AS within_budget
+FROM rooted LEFT JOIN lists USING (capture_id, trip_seq) LEFT JOIN lasts USING (trip_seq)"""
+
+
+@query("evidence_documents", chain(CAP) + DOCS)
 def evidence_documents(spark, d):
+    """Documents written as JSON, read again and flattened."""
     t, found, c = evaluated(spark, d)
-    return evidence.documents(found, A.catalysts(c), t)
+    docs = evidence.parsed(evidence.documents(found, A.catalysts(c), t, window=BEFORE)).select("document.*")
+    listed = lambda c, f: F.array_join(F.transform(c, f), " ")
+    return docs.select(
+        "trace_id", "capture_id", "trip_ts", "trip_seq", "finding", F.col("root.normalized_overrun").alias("root_overrun"), F.col("root.trigger_seq").alias("root_trigger"),
+        listed("catalysts", lambda x: F.concat(x["edge_from"], F.lit(">"), x["edge_to"], F.lit(":"), x["observed_dt_ns"])).alias("catalysts"), F.size("catalysts").alias("n_catalysts"),
+        listed("events", lambda x: F.concat_ws("@", x["seq"], x["offset_ns"])).alias("events"), "safety.*",
+    )
 
 
 @query("safety_response", chain(CAP) + f" SELECT capture_id, trip_seq, {RESPONSE} AS response_time_ns, {WITHIN} AS within_budget FROM rooted")
@@ -258,85 +282,104 @@ def min_forward_gap(spark, d):
     return whole(spark, d).select("min_forward_gap_ns")
 
 
-def coverage(spark, d) -> DataFrame:
-    e = events.read(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") != "signup").alias("classifiable"), F.count_if(F.col("event_type") == "signup").alias("unclassified"))
-    return e.withColumn("unclassified_fraction", preflight.unclassified_fraction(F.col("unclassified"), F.col("total")))
-
-
-TALLY = ", cov AS (SELECT count(*) AS total, count_if(event_type != 'signup') AS classifiable, count_if(event_type = 'signup') AS unclassified FROM base), frac AS (SELECT *, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE unclassified::DOUBLE / total::DOUBLE END AS unclassified_fraction FROM cov)"
-
-
-@query("coverage_tally", TALLY + " SELECT * FROM frac")
-def coverage_tally(spark, d):
-    return coverage(spark, d)
-
-
-@query("preflight_verdict", TALLY + " SELECT *, CASE WHEN total = 0 THEN 'rejected_empty' WHEN unclassified_fraction > 0.20::DOUBLE THEN 'coverage_gap' ELSE 'analyzable' END AS verdict FROM frac")
-def preflight_verdict(spark, d):
-    return coverage(spark, d).withColumn("verdict", preflight.verdict(F.col("total"), F.col("unclassified_fraction")))
-
-
-@query("rejected_types", " SELECT event_type, count(*) AS n FROM base WHERE event_type IN ('signup', 'click') GROUP BY event_type")
-def rejected_types(spark, d):
-    return events.read(spark, d).where("event_type in ('signup', 'click')").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("top_types", " SELECT event_type, count(*) AS n FROM base GROUP BY event_type ORDER BY n DESC, event_type LIMIT 12")
-def top_types(spark, d):
-    return events.read(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(preflight.TOP_TYPES)
-
-
-NODE_ROWS = [(1,), (2,), (3,), (7,)]
-EDGE_TABLE = [(0, 1, 2, 5_000), (1, 2, 3, 500), (2, 3, 9, 0), (3, 3, 1, 7_000), (4, 8, 2, 9_000)]
-TOPOLOGY = " , nodes(id) AS (VALUES (1::BIGINT), (2), (3), (7)), edges(edge_idx, source, target, budget_ns) AS (VALUES (0, 1::BIGINT, 2::BIGINT, 5000), (1, 2, 3, 500), (2, 3, 9, 0), (3, 3, 1, 7000), (4, 8, 2, 9000))"
+TOPOLOGY = ", nodes AS (SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_nationkey % 11 != 4), edges AS (SELECT n_nationkey::INT AS edge_idx, (n_nationkey * 3 % 21)::BIGINT AS source, (n_nationkey * 5 % 27)::BIGINT AS target, CASE n_regionkey WHEN 0 THEN 0 WHEN 1 THEN 500 WHEN 2 THEN 60000000000 WHEN 3 THEN 60000000001 ELSE 9000 END::BIGINT AS budget_ns FROM nation)"
 
 
-def topology(spark):
-    return spark.createDataFrame(NODE_ROWS, "id long"), spark.createDataFrame(EDGE_TABLE, "edge_idx int, source long, target long, budget_ns long")
+def topology(spark, d):
+    """A dependency graph made of the nations."""
+    n = spark.read.parquet(f"{d}/nation.parquet").withColumn("k", F.col("n_nationkey").cast("long"))
+    budget = F.element_at(F.array(*[F.lit(x).cast("long") for x in (0, 500, 60_000_000_000, 60_000_000_001, 9_000)]), F.col("n_regionkey").cast("int") + 1)
+    return n.where("k % 11 != 4").select(F.col("k").alias("id")), n.select(F.col("k").cast("int").alias("edge_idx"), (F.col("k") * 3 % 21).alias("source"), (F.col("k") * 5 % 27).alias("target"), budget.alias("budget_ns"))
 
 
 @query("manifest_dangling", TOPOLOGY + " SELECT edge_idx, source AS missing FROM edges WHERE source NOT IN (SELECT id FROM nodes) UNION ALL SELECT edge_idx, target FROM edges WHERE target NOT IN (SELECT id FROM nodes)")
 def manifest_dangling(spark, d):
-    return manifest.dangling(*topology(spark))
+    return manifest.dangling(*topology(spark, d))
 
 
 @query("manifest_orphans", TOPOLOGY + " SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")
 def manifest_orphans(spark, d):
-    return manifest.orphans(*topology(spark))
+    return manifest.orphans(*topology(spark, d))
 
 
 @query("manifest_degree", TOPOLOGY + " SELECT id, (SELECT count(*) FROM edges WHERE target = id) AS in_degree, (SELECT count(*) FROM edges WHERE source = id) AS out_degree FROM nodes")
 def manifest_degree(spark, d):
-    return manifest.degrees(*topology(spark))
+    return manifest.degrees(*topology(spark, d))
 
 
 @query("manifest_budgets", TOPOLOGY + " SELECT edge_idx, CASE WHEN budget_ns <= 0 OR budget_ns > 60000000000 THEN 'bad_budget' WHEN budget_ns < 1000 THEN 'tight_budget' END AS finding FROM edges WHERE budget_ns <= 0 OR budget_ns > 60000000000 OR budget_ns < 1000")
 def manifest_budgets(spark, d):
-    b = F.col("budget_ns")
-    return topology(spark)[1].withColumn("finding", F.when((b <= 0) | (b > manifest.MAX_BUDGET_NS), "bad_budget").when(b < manifest.TIGHT_BUDGET_NS, "tight_budget")).where("finding is not null").select("edge_idx", "finding")
+    return manifest.budgets(topology(spark, d)[1])
 
 
 @query("manifest_cycle_nodes", TOPOLOGY + ", reach(start, node) AS (SELECT source, target FROM edges UNION SELECT r.start, e.target FROM reach r JOIN edges e ON e.source = r.node) SELECT DISTINCT start AS id FROM reach WHERE start = node")
 def manifest_cycle_nodes(spark, d):
-    return manifest.cycle_members(topology(spark)[1])
-
-
-@query("manifest_validation")
+    return manifest.cycle_members(topology(spark, d)[1])
+
+
+def document(k: int, region: int) -> str:
+    """A manifest as JSON: five nodes in a line, with one fault of each kind by k."""
+    import json
+
+    nodes = [{"id": i, "type": "profinet", "frame_id": 100 + i, "bit_index": region} for i in range(1, 5)] + [{"id": 5, "type": "ros2_port", "topic_port": 9000 + region}]
+    edges = [{"from": i, "to": i + 1, "wcet_ns": 2_000 + k} for i in range(1, 4)] + [{"from": 5, "to": 1, "wcet_ns": 40_000}]
+    doc = {"cell_name": f"cell {region}", "nodes": nodes, "edges": edges, "trip_node": 4}
+    kind = k % 12
+    if kind == 1:
+        doc["nodes"] = []
+    elif kind == 2:
+        nodes.append({"id": 2, "type": "fanuc_pose"})
+    elif kind == 3:
+        doc["trip_node"] = 70
+    elif kind == 4:
+        doc["trip_node"] = 5
+    elif kind == 5:
+        edges.append({"from": 1, "to": 80, "wcet_ns": 10})
+    elif kind in (6, 7, 8):
+        edges[0]["wcet_ns"] = {6: 0, 7: 60_000_000_001, 8: 60_000_000_000}[kind]
+    elif kind == 9:
+        edges.append({"from": 4, "to": 1, "wcet_ns": 10_000})
+    elif kind == 10:
+        edges.append({"from": 3, "to": 3, "wcet_ns": 10_000})
+    elif kind == 11:
+        del doc["trip_node"]
+    return json.dumps(doc)
+
+
+OUTCOMES = "['valid', 'empty', 'duplicate_node', 'trip_undeclared', 'trip_not_interlock', 'dangling_node', 'bad_budget', 'bad_budget', 'valid', 'dependency_cycle', 'dependency_cycle', 'json']"
+
+
+@query("manifest_validation", f" SELECT n_nationkey::BIGINT AS id, ({OUTCOMES})[n_nationkey % 12 + 1] AS outcome, CASE WHEN n_nationkey % 12 IN (0, 8) THEN 0 ELSE 1 END::INT AS code FROM nation")
 def manifest_validation(spark, d):
-    """The first failure of each of a few manifests."""
+    """The first failure of a manifest for each nation (25 rows), and the command's return code."""
     out = []
-    for name, edges in (("base", events.EDGES), ("loop", [*events.EDGES, (5, 1, 10_000)]), ("long", [(1, 2, 120_000_000_000)]), ("gap", [(1, 99, 10_000)])):
-        try:
-            manifest.validate(Manifest(M.nodes, tuple(Edge(*e) for e in edges), M.trip_node))
-            out.append((name, "valid"))
-        except manifest.ManifestError as e:
-            out.append((name, e.kind))
-    return spark.createDataFrame(out, "manifest string, outcome string")
+    for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_regionkey").collect():
+        outcome = manifest.outcome(document(int(r["n_nationkey"]), int(r["n_regionkey"])))
+        out.append((int(r["n_nationkey"]), outcome, 0 if outcome == "valid" else 1))
+    return spark.createDataFrame(out, "id long, outcome string, code int")
 
 
 @query("evidence_range", chain(CAP) + f", rows_ AS ({FLAT}) SELECT * FROM rows_ WHERE trip_ts >= {RANGE[0]} AND trip_ts < {RANGE[1]}")
 def evidence_range(spark, d):
-    return evidence.rows(rooted(spark, d)).where((F.col("trip_ts") >= RANGE[0]) & (F.col("trip_ts") < RANGE[1])).orderBy(*store.KEY)
+    """Rows put into a store by day in the shared folder, and scanned by time."""
+    kept = store.EvidenceStore(spark, f"{shared(spark)}/evidence-{uuid.uuid4().hex}")
+    kept.put(evidence.rows(rooted(spark, d)))
+    return kept.range(*RANGE)
+
+
+@query("evidence_in_memory", chain(CAP) + f", rows_ AS ({FLAT}) SELECT * FROM rows_ WHERE trip_ts >= {RANGE[0]} AND trip_ts < {RANGE[1]}")
+def evidence_in_memory(spark, d):
+    kept, rows = store.EvidenceMemory(), evidence.rows(rooted(spark, d))
+    kept.put(rows.where("trip_seq % 2 = 0"))
+    kept.put(rows.where("trip_seq % 2 = 1"))
+    return kept.range(*RANGE)
+
+
+@query("evidence_length", chain(CAP) + " SELECT count(*) AS n, count(*) = 0 AS is_empty FROM rooted")
+def evidence_length(spark, d):
+    kept = store.EvidenceStore(spark, f"{shared(spark)}/evidence-{uuid.uuid4().hex}")
+    kept.put(evidence.rows(rooted(spark, d)))
+    return spark.createDataFrame([(len(kept), kept.is_empty())], "n long, is_empty boolean")
 
 
 @query("evidence_duplicates", chain(CAP) + f", rows_ AS ({FLAT}), twice AS (SELECT * FROM rows_ UNION ALL SELECT * FROM rows_ WHERE trip_seq % 2 = 0) SELECT trip_ts, trace_id, count(*) AS n FROM twice GROUP BY trip_ts, trace_id HAVING count(*) > 1")
@@ -411,32 +454,134 @@ def vlan_frames(spark, d):
     return decode.decode(frames(spark, d)).agg(F.count_if("vlan").alias("n"))
 
 
-@query("frame_profile")
-def frame_profile(spark, d):
-    return discovery.profile(decode.decode(frames(spark, d)))
+KINDS = 12
+
+
+def odd_frames(spark, d) -> DataFrame:
+    """A frame for each event, in turn of twelve kinds, refused ones among them; three captures; some cut by the tap, some longer than they claim."""
+    e = events.read(spark, d)
+    k = F.col("k").cast("long")
+    h2, h4 = (lambda v: F.lpad(F.hex(v), 2, "0")), (lambda v: F.lpad(F.hex(v), 4, "0"))
+    zero = lambda n: F.lit("00" * n)
+    ip = lambda proto: F.concat(F.lit("080045"), zero(8), F.lit(proto), zero(10))
+    cyclic = F.concat(F.lit("8892"), h4(F.lit(5).cast("long")), h2(k), h2(k * 37 % 256), h2(k * 101 % 256), zero(8))
+    udp = lambda port, length, payload: F.concat(ip("11"), zero(2), h4(port), h4(length), zero(2), payload)
+    long_ = lambda x: F.lit(x).cast("long")
+    tcp = lambda a, b: F.concat(ip("06"), h4(a), h4(b), zero(16))
+    bodies = [
+        cyclic, F.concat(F.lit("81000001"), cyclic), udp(7400 + k % 4, 8 + k % 16, F.repeat(F.lit("AB"), (k % 16).cast("int"))),
+        udp(long_(60008), long_(20), F.concat(f32_hex(k), f32_hex(k % 7), f32_hex(long_(0)))), tcp(40000 + k, long_(102)), tcp(40000 + k, long_(80)), None,
+        F.concat(F.lit("88A4"), zero(40)), udp(7400 + k % 4, long_(40), zero(4)), udp(long_(60008), long_(16), zero(8)), F.concat(F.lit("0800"), zero(6)), F.lit("81000001"),
+    ]
+    kind = F.col("event_id") % KINDS
+    hexed = F.lit("00" * 8)
+    for i, body in enumerate(bodies):
+        if body is not None:
+            hexed = F.when(kind == i, F.concat(zero(12), body)).otherwise(hexed)
+    raw = F.unhex(hexed)
+    out = e.select((F.col("event_id") % 3).cast("string").alias("capture_id"), F.col("event_id").alias("frame_no"), F.col("ts").alias("tap_ts_ns"), raw.alias("raw"), F.when(k % 5 == 0, 10).when(k % 5 == 1, -3).otherwise(0).alias("more"))
+    return out.select("capture_id", "frame_no", "tap_ts_ns", F.length("raw").alias("incl_len"), (F.length("raw") + F.col("more")).cast("int").alias("orig_len"), "raw")
+
+
+#: The same frames by arithmetic: what each is, and what it holds.
+ODD = """, odd AS (SELECT (event_id % 3)::VARCHAR AS capture_id, event_id AS frame_no, ts AS tap_ts_ns, k, (event_id % 12)::INT AS kind, k % 5 = 0 AS cut FROM base),
+dec AS (SELECT *, CASE kind WHEN 0 THEN 'cyclic' WHEN 1 THEN 'cyclic' WHEN 2 THEN 'udp' WHEN 3 THEN 'pose' WHEN 4 THEN 's7' END AS proto,
+  CASE kind WHEN 5 THEN 'unhandled_ethertype' WHEN 6 THEN 'truncated' WHEN 7 THEN 'unhandled_ethertype' WHEN 8 THEN 'bad_udp' WHEN 9 THEN 'short_payload' WHEN 10 THEN 'bad_ipv4' WHEN 11 THEN 'truncated' END AS parse_error,
+  CASE WHEN kind IN (0, 1) THEN 34962 WHEN kind = 6 THEN NULL WHEN kind = 7 THEN 34980 WHEN kind = 11 THEN 33024 ELSE 2048 END::INT AS ethertype, kind IN (1, 11) AS vlan FROM odd),
+claimed AS (SELECT *, CASE WHEN kind IN (0, 1) THEN 4 WHEN kind = 2 AND k % 4 = 1 THEN 1 WHEN kind = 2 AND k % 4 = 2 THEN 2 WHEN kind = 3 THEN 3 END::BIGINT AS node FROM dec),
+cls AS (SELECT capture_id, frame_no, node, tap_ts_ns AS ts, CASE WHEN node = 4 THEN (k >> 1) % 2 = 1 END AS level FROM claimed WHERE node IS NOT NULL),
+str AS (SELECT *, CASE WHEN kind < 2 THEN 'cyclic' WHEN kind < 4 THEN 'udp' ELSE 's7' END AS skind, CASE WHEN kind < 2 THEN 0 WHEN kind < 4 THEN 1 ELSE 2 END::INT AS kind_rank, CASE WHEN kind < 2 THEN 5 WHEN kind = 2 THEN 7400 + k % 4 WHEN kind = 3 THEN 60008 ELSE 102 END::INT AS stream_id FROM dec WHERE parse_error IS NULL),
+sg AS (SELECT *, CASE WHEN was IS NOT NULL THEN greatest(0, tap_ts_ns - was) END AS gap_ns FROM (SELECT *, lag(tap_ts_ns) OVER (PARTITION BY capture_id, skind, stream_id ORDER BY frame_no) AS was FROM str))"""
+FRAME_NODES = manifest.parse('{"nodes": [{"id": 1, "type": "ros2_port", "topic_port": 7401}, {"id": 2, "type": "ros2_port", "topic_port": 7402}, {"id": 3, "type": "fanuc_pose"}, {"id": 4, "type": "profinet", "frame_id": 5, "bit_index": 1}, {"id": 6, "type": "profinet", "frame_id": 5, "bit_index": 3}], "edges": [{"from": 1, "to": 3, "wcet_ns": 900000000}, {"from": 2, "to": 3, "wcet_ns": 300000000}, {"from": 3, "to": 4, "wcet_ns": 700000000}], "trip_node": 4}')
+
+
+def odd(spark, d) -> DataFrame:
+    return decode.decode(odd_frames(spark, d))
+
+
+@query("frame_refusals", ODD + " SELECT capture_id, frame_no, proto, parse_error, ethertype, vlan FROM dec")
+def frame_refusals(spark, d):
+    return odd(spark, d).select("capture_id", "frame_no", "proto", "parse_error", "ethertype", "vlan")
+
+
+@query("rejected_types", ODD + " SELECT capture_id, ethertype, CASE WHEN ethertype IS NULL THEN 'malformed' WHEN ethertype = 2048 THEN 'IPv4' WHEN ethertype = 33024 THEN 'VLAN' ELSE 'other' END AS name, CASE WHEN ethertype = 2048 THEN 'partial' ELSE 'unsupported' END AS status, count(*) AS n FROM dec WHERE parse_error IS NOT NULL GROUP BY capture_id, ethertype")
+def rejected_types(spark, d):
+    return discovery.rejected(odd(spark, d))
+
+
+@query("top_types", ODD + " SELECT ethertype, count(*) AS n FROM dec WHERE ethertype IS NOT NULL GROUP BY ethertype ORDER BY n DESC, ethertype LIMIT 12")
+def top_types(spark, d):
+    return preflight.ethertypes(odd(spark, d))
+
+
+FACTS = """, tally AS (SELECT capture_id, count(*) AS total, count_if(parse_error IS NULL) AS classifiable, count_if(parse_error IS NOT NULL) AS unclassified, count_if(kind = 6) AS malformed, count_if(vlan) AS vlan_frames, count_if(cut) AS truncated_frames, max(CASE WHEN k % 5 = 1 THEN 3 ELSE 0 END)::INT AS max_excess_len,
+  greatest(0, arg_max(tap_ts_ns, frame_no) - arg_min(tap_ts_ns, frame_no)) AS span_ns, min(CASE WHEN tap_ts_ns > before THEN tap_ts_ns - before END) AS min_forward_gap_ns
+  FROM (SELECT *, lag(tap_ts_ns) OVER (PARTITION BY capture_id ORDER BY frame_no) AS before FROM dec) GROUP BY capture_id)"""
 
 
-def seven_records() -> list[tuple[int, bytes, int | None]]:
-    """A small capture: two cycles of a port's arrival, a pose and a cyclic bit that falls, and one cut frame."""
-    import struct
+@query("preflight_facts", ODD + FACTS + " SELECT *, unclassified::DOUBLE / total::DOUBLE AS unclassified_fraction, CASE WHEN unclassified::DOUBLE / total::DOUBLE > 0.20::DOUBLE THEN 'coverage_gap' ELSE 'analyzable' END AS verdict FROM tally")
+def preflight_facts(spark, d):
+    return preflight.facts(odd(spark, d))
 
-    def udp(port, payload):
-        return bytes(12) + b"\x08\x00\x45" + bytes(8) + b"\x11" + bytes(10) + bytes(2) + struct.pack(">HH", port, 8 + len(payload)) + bytes(2) + payload
 
-    def cyclic(status):
-        return (bytes(12) + struct.pack(">HHB", 0x8892, 2, status)).ljust(60, b"\0")
+MILD = " WHERE kind IN (0, 1, 2, 3) OR (capture_id = '1' AND kind IN (4, 7)) OR (capture_id = '2' AND k % 5 = 1)"
 
-    pose = udp(60008, struct.pack("<fff", 100, 200, 50))
-    ms = 1_000_000
-    return [(10 * ms, udp(7400, bytes(32)), None), (12 * ms, pose, None), (14 * ms, cyclic(1), None), (20 * ms, pose[:20], 54), (30 * ms, udp(7400, bytes(32)), None), (40 * ms, pose, None), (42 * ms, cyclic(0), None)]
+
+@query("preflight_verdict", ODD + f", part AS (SELECT * FROM dec{MILD}) SELECT capture_id, count(*) AS total, count_if(parse_error IS NOT NULL)::DOUBLE / count(*)::DOUBLE AS unclassified_fraction, CASE WHEN count_if(parse_error IS NOT NULL)::DOUBLE / count(*)::DOUBLE > 0.20::DOUBLE THEN 'coverage_gap' ELSE 'analyzable' END AS verdict FROM part GROUP BY capture_id UNION ALL SELECT 'none', 0::BIGINT, 0.0::DOUBLE, 'rejected_empty' UNION ALL SELECT 'odd', 0::BIGINT, 0.0::DOUBLE, 'format_rejected'")
+def preflight_verdict(spark, d):
+    """Captures of which some frames were kept, an empty one, and one that is no capture."""
+    kind = F.col("frame_no") % KINDS
+    frames_ = odd_frames(spark, d).join(events.read(spark, d).select(F.col("event_id").alias("frame_no"), "k"), "frame_no")
+    kept = frames_.where(kind.isin(0, 1, 2, 3) | ((F.col("capture_id") == "1") & kind.isin(4, 7)) | ((F.col("capture_id") == "2") & (F.col("k") % 5 == 1)))
+    names = spark.createDataFrame([("0", None), ("1", None), ("2", None), ("none", None), ("odd", "magic")], "capture_id string, format_error string")
+    return preflight.facts(decode.decode(kept), names).select("capture_id", "total", "unclassified_fraction", "verdict")
+
+
+@query("frame_classification", ODD + " SELECT * FROM cls")
+def frame_classification(spark, d):
+    """Frames claimed by the nodes of a manifest; two nodes name one frame id, the lesser has it."""
+    return A.classify(odd(spark, d), manifest.validate(FRAME_NODES))
+
+
+@query("unclaimed_frames", ODD + " SELECT capture_id, count(*) AS n FROM claimed WHERE node IS NULL GROUP BY capture_id")
+def unclaimed_frames(spark, d):
+    """Frames that no node claims or that were refused, by capture."""
+    decoded = odd(spark, d)
+    return decoded.join(A.classify(decoded, FRAME_NODES).select("capture_id", "frame_no"), ["capture_id", "frame_no"], "left_anti").groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("frame_trips", ODD + ", num AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY frame_no) - 1 AS seq FROM cls) SELECT capture_id, seq AS trip_seq, ts AS trip_ts FROM (SELECT *, lag(level) OVER (PARTITION BY capture_id ORDER BY seq) AS was FROM num WHERE level IS NOT NULL) WHERE was AND NOT level")
+def frame_trips(spark, d):
+    return A.trips(A.transitions(A.classify(odd(spark, d), FRAME_NODES)), FRAME_NODES.trip_node)
+
+
+FRAME_QUANTILES = ", ".join(f"CASE WHEN any_value(gap_count) >= 30 THEN least(greatest(min(CASE WHEN c >= greatest(1, least(ceil({q}::DOUBLE * gap_count), gap_count)) THEN bucket_lo END), any_value(gap_min)), any_value(gap_max)) END AS {n}" for n, q in discovery.QUANTILES.items())
+PROFILE = f""", sstats AS (SELECT capture_id, kind_rank, skind, stream_id, count(*) AS frames, count(gap_ns) AS gap_count, coalesce(min(gap_ns), 0) AS gap_min, coalesce(max(gap_ns), 0) AS gap_max, coalesce(sum(gap_ns)::HUGEINT // nullif(count(gap_ns), 0), 0)::BIGINT AS gap_mean FROM sg GROUP BY ALL),
+sbits AS (SELECT capture_id, skind, stream_id, gap_ns, length(bin(gap_ns)) - 1 AS band FROM sg WHERE gap_ns IS NOT NULL),
+sbk AS (SELECT capture_id, skind, stream_id, CASE WHEN gap_ns = 0 THEN 0 ELSE band * 8 + CASE WHEN band >= 3 THEN (gap_ns - (1::BIGINT << band)) >> (band - 3) ELSE ((gap_ns - (1::BIGINT << band)) * 8) >> band END END::INT AS bucket FROM sbits),
+sbc AS (SELECT capture_id, skind, stream_id, bucket, count(*) AS n, CASE WHEN bucket = 0 THEN 0 ELSE (1::BIGINT << (bucket // 8)) + (((bucket % 8)::BIGINT << (bucket // 8)) >> 3) END AS bucket_lo FROM sbk GROUP BY ALL),
+scum AS (SELECT sbc.*, sum(n) OVER (PARTITION BY capture_id, skind, stream_id ORDER BY bucket) AS c, gap_count, gap_min, gap_max FROM sbc JOIN sstats USING (capture_id, skind, stream_id)),
+squant AS (SELECT capture_id, skind, stream_id, {FRAME_QUANTILES} FROM scum GROUP BY ALL),
+pay AS (SELECT capture_id, unnest([0, 1, 2]) AS byte, unnest([k, k * 37 % 256, k * 101 % 256]) AS v FROM str WHERE kind < 2),
+mask AS (SELECT capture_id, byte, xor(bit_or(v), bit_and(v)) AS m FROM pay GROUP BY ALL),
+tog AS (SELECT capture_id, byte, b FROM mask, (SELECT unnest(generate_series(0, 7)) AS b) WHERE (m >> b) & 1 = 1),
+shown AS (SELECT capture_id, count(*)::INT AS n_toggles, string_agg(byte || '.' || b, ' ' ORDER BY byte, b) FILTER (r <= {discovery.TOGGLES_SHOWN}) AS toggles FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY byte, b) AS r FROM tog) GROUP BY capture_id)
+SELECT s.capture_id, s.kind_rank, s.skind AS kind, s.stream_id, frames, gap_count, gap_min, gap_max, gap_mean, {", ".join(discovery.QUANTILES)}, CASE WHEN s.kind_rank = 0 THEN toggles END AS toggles, CASE WHEN s.kind_rank = 0 THEN coalesce(n_toggles, 0) ELSE 0 END::INT AS n_toggles
+FROM sstats s LEFT JOIN squant q ON s.capture_id = q.capture_id AND s.skind = q.skind AND s.stream_id = q.stream_id LEFT JOIN shown ON s.capture_id = shown.capture_id"""
+
+
+@query("frame_profile", ODD + PROFILE)
+def frame_profile(spark, d):
+    return discovery.report(discovery.profile(odd(spark, d)))
 
 
-@query("pcap_roundtrip")
+@query("pcap_roundtrip", ODD + """ SELECT regexp_replace('capture-' || capture_id, '$', '.pcap') AS name, row_number() OVER (PARTITION BY capture_id ORDER BY frame_no) - 1 AS frame_no, tap_ts_ns // 1000 * 1000 AS tap_ts_ns,
+  size AS incl_len, (size + CASE WHEN cut THEN 10 WHEN k % 5 = 1 THEN -3 ELSE 0 END)::INT AS orig_len, 'kernel' AS ts_source, proto, parse_error, ethertype
+FROM (SELECT *, (CASE kind WHEN 0 THEN 27 WHEN 1 THEN 31 WHEN 2 THEN 42 + k % 16 WHEN 3 THEN 54 WHEN 4 THEN 54 WHEN 5 THEN 54 WHEN 6 THEN 8 WHEN 7 THEN 54 WHEN 8 THEN 46 WHEN 9 THEN 50 WHEN 10 THEN 20 ELSE 16 END)::INT AS size FROM dec)""")
 def pcap_roundtrip(spark, d):
-    """A small capture written to the shared folder, read by the data source and decoded."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tapquarry-shared").removeprefix("file://")
-    path = f"{shared}/capture-{uuid.uuid4().hex}.pcap"
-    os.makedirs(shared, exist_ok=True)
-    pcap.write_capture(path, seven_records())
+    """Captures written to the shared folder by a task each, read by the data source in parts, and decoded."""
+    folder = f"{shared(spark)}/captures-{uuid.uuid4().hex}"
+    pcap.write_captures(odd_frames(spark, d), folder)
     pcap.register(spark)
-    return decode.decode(spark.read.format("pcap").load(path)).select("tap_ts_ns", "incl_len", "orig_len", *DECODED)
+    read = spark.read.format("pcap").option("ts_source", "kernel").option("split_bytes", 20_000).load(folder)
+    return decode.decode(read).select(F.element_at(F.split("capture_id", "/"), -1).alias("name"), "frame_no", "tap_ts_ns", "incl_len", "orig_len", "ts_source", "proto", "parse_error", "ethertype")

@@ -52,25 +52,19 @@ def test_walk_matches_model(spark, cap):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-def test_example_trip_ranks_the_wider_overrun(spark):
-    ms = 1_000_000
-    m = Manifest((Node(1, "ros2_port", topic_port=7400), Node(2, "fanuc_pose"), Node(3, "profinet", frame_id=2)), (Edge(1, 2, 3 * ms), Edge(2, 3, 4 * ms)), 3)
-    events = [(1, 0, None), (2, 2, None), (3, 4, True), (1, 10, None), (2, 20, None), (3, 22, False)]
-    rows = [(0, i, n, t * ms, level) for i, (n, t, level) in enumerate(events)]
-    t = A.transitions(spark.createDataFrame(rows, SCHEMA)).cache()
-    root = A.roots(A.trips(t, 3), A.catalysts(A.candidates(t, A.trips(t, 3), m))).first()
-    assert (root["edge_from"], root["edge_to"], root["observed_dt_ns"]) == (1, 2, 10 * ms)
-    assert root["normalized_overrun"] == 7 / 3
+def press_line():
+    """A press: a port (11) starts a robot (12), which arms a guard (13); the guard's bit 2 is the trip."""
+    return Manifest((Node(11, "ros2_port", topic_port=9100), Node(12, "fanuc_pose"), Node(13, "profinet", frame_id=40, bit_index=2)), (Edge(11, 12, 6_000), Edge(12, 13, 2_500)), 13)
 
 
-def test_clean_trip_has_no_catalyst(spark):
-    ms = 1_000_000
-    m = Manifest((Node(1, "profinet", frame_id=1), Node(2, "profinet", frame_id=2), Node(3, "profinet", frame_id=3)), (Edge(1, 2, 3 * ms), Edge(2, 3, 4 * ms)), 3)
-    rows = [(0, i, n, t * ms, level) for i, (n, t, level) in enumerate([(1, 0, None), (2, 1, None), (3, 2, True), (1, 100, None), (2, 101, None), (3, 102, False)])]
+@pytest.mark.parametrize("second,root", [((500, 509, 519), (12, 13, 10_000, 3.0)), ((500, 530, 532), (11, 12, 30_000, 4.0)), ((500, 504, 505), None)])
+def test_root_is_the_edge_with_the_widest_overrun(spark, second, root):
+    rows = [(1, i, n, us * 1_000, level) for i, (n, us, level) in enumerate([(11, 100, None), (12, 101, None), (13, 102, True), (11, second[0], None), (12, second[1], None), (13, second[2], False)])]
     t = A.transitions(spark.createDataFrame(rows, SCHEMA)).cache()
-    found = A.trips(t, 3)
-    assert found.count() == 1
-    assert A.catalysts(A.candidates(t, found, m)).count() == 0
+    found = A.trips(t, 13)
+    got = A.roots(found, A.catalysts(A.candidates(t, found, press_line()))).collect()
+    assert len(got) == 1
+    assert (got[0]["edge_from"], got[0]["edge_to"], got[0]["observed_dt_ns"], got[0]["normalized_overrun"]) == (root or (None,) * 4)
 
 
 def test_explain_matches_model():
