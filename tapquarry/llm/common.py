@@ -42,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(taken, name: str) -> str:
+    """The name, with as many underscores as it takes until no other column starts with it."""
+    known = [x.lower() for x in taken]
+    while any(x.startswith(name.lower()) for x in known):
+        name += "_"
+    return name
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string or binary column without nulls."""
     column = column.cast(pa.large_binary())

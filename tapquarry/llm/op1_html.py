@@ -7,6 +7,10 @@ left out with all they hold. Blocks start lines, paragraphs and their like are s
 list items carry bullets or numbers and their nesting's indent, pre keeps its lines, and a table's
 cells are padded to its columns' widths.
 
+Content of a table outside its cells comes before the grid. Neither building nor rendering recurses, and each
+tag takes a time that does not depend on the depth. Two widths are bounds of layout, not of content: lines indent by at
+most INDENT columns, and cells after a column wider than WIDEST follow it without alignment.
+
 A null or empty page gives an empty text. Broken markup never fails. Rows that repeat are rendered alike; other
 columns pass. No rows give no rows.
 """
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,66 +51,88 @@ INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+INDENT, WIDEST = 160, 240
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """lines: of a table, once it is laid out."""
+
+    __slots__ = ("tag", "attrs", "kids", "lines")
 
     def __init__(self, tag, attrs=None):
-        self.tag, self.attrs, self.kids = tag, attrs or {}, []
+        self.tag, self.attrs, self.kids, self.lines = tag, attrs or {}, [], None
+
+
+class Open:
+    """The stack of open elements, with the places of each tag."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node):
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def add(self, kid):
+        self.stack[-1].kids.append(kid)
+
+    def last(self, tags) -> int:
+        return max([self.places[t][-1] for t in tags if self.places.get(t)], default=0)
+
+    def close(self, tags, walls=()) -> bool:
+        """Closes the nearest open element of `tags`, unless one of `walls` is nearer."""
+        at = self.last(tags)
+        if not at or self.last(walls) > at:
+            return False
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+        return True
 
 
 def build(page: str) -> Node:
     root = Node("html")
-    stack = [root]
+    opened = Open(root)
     at, n = 0, len(page)
-
-    def close(tags, walls):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in walls:
-                return False
-        return False
-
     while at < n:
         m = TAG.search(page, at)
         if m is None:
-            stack[-1].kids.append(html.unescape(page[at:]))
+            opened.add(html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].kids.append(html.unescape(page[at : m.start()]))
+            opened.add(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                stack[-1].kids.append(Node("br"))
+                opened.add(Node("br"))
             elif tag not in ("html", "body"):
-                close({tag}, WALLS.get(tag, ()))
+                opened.close((tag,), WALLS.get(tag, ()))
             continue
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(m[3])} if m[3].strip(" \n\t/") else {}
-        if tag in ("html", "body", "head"):
-            if tag == "head":
-                stack.append(Node("head", attrs))
-                stack[-2].kids.append(stack[-1])
-            elif tag == "body":
-                close({"head"}, ())
-                root.attrs = root.attrs | attrs
+        if tag == "html":
+            continue
+        if tag == "body":
+            opened.close(("head",))
+            root.attrs.update(attrs)
             continue
-        if any(x.tag == "head" for x in stack[1:2]) and tag not in ("meta", "link", "title", "style", "script", "base", "template", "noscript"):
-            close({"head"}, ())  # anything else starts the body
+        if opened.places.get("head") and tag not in ("head", "meta", "link", "title", "style", "script", "base", "template", "noscript"):
+            opened.close(("head",))  # anything else starts the body
         if tag in IMPLIED:
-            while close(*IMPLIED[tag]):
+            while opened.close(*IMPLIED[tag]):
                 pass
         if tag in CLOSES_P:
-            close({"p"}, {"table", "td", "th", "button"})
-        if tag in ("td", "th") and stack[-1].tag not in ("tr",) and any(x.tag == "table" for x in stack):
+            opened.close(("p",), ("table", "td", "th", "button"))
+        if tag in ("td", "th") and opened.top().tag != "tr" and opened.places.get("table"):
             row = Node("tr")
-            stack[-1].kids.append(row)
-            stack.append(row)
+            opened.add(row)
+            opened.push(row)
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        opened.add(node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -120,7 +146,7 @@ def build(page: str) -> Node:
             if end:
                 at = page.find(">", stop) + 1 or n
             continue
-        stack.append(node)
+        opened.push(node)
     return root
 
 
@@ -147,10 +173,19 @@ class Lines:
             if self.gap == 2 and self.lines:
                 self.lines.append("")
             self.gap = 0
-            lead = " " * max(0, self.indent - len(self.mark)) + self.mark
+            lead = " " * max(0, min(self.indent, INDENT) - len(self.mark)) + self.mark
             self.mark = ""
             self.lines.append(lead + text if text else "")
 
+    def whole(self, lines):
+        """Lines that are laid out already."""
+        for i, line in enumerate(lines):
+            if i and not self.indent:  # nothing to add to the others
+                self.lines += lines[i:]
+                break
+            self.line = [line]
+            self.flush(even_empty=True)
+
     def text(self, s, pre):
         if pre:
             for i, part in enumerate(s.expandtabs(8).split("\n")):
@@ -169,7 +204,7 @@ class Lines:
 
 
 def rendered(root: Node) -> list[str]:
-    """Lines of a subtree, without recursion over its depth except for nested tables."""
+    """Lines of a subtree whose tables are laid out."""
     out = Lines()
     lists: list[list] = []
     work: list = [(root, False, False)]  # node or text, within pre, whether leaving
@@ -186,7 +221,7 @@ def rendered(root: Node) -> list[str]:
             if tag == "li":
                 out.flush()
                 if out.mark:
-                    out.lines.append((" " * max(0, out.indent - len(out.mark)) + out.mark).rstrip())
+                    out.lines.append((" " * max(0, min(out.indent, INDENT) - len(out.mark)) + out.mark).rstrip())
                     out.mark = ""
             if tag in BLOCK:
                 out.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
@@ -207,9 +242,7 @@ def rendered(root: Node) -> list[str]:
         if tag == "hr":
             continue
         if tag == "table":
-            for line in grid(node):
-                out.line = [line]
-                out.flush(even_empty=True)
+            out.whole(node.lines)
             out.block(2)
             continue
         if tag in ("ul", "ol", "menu"):
@@ -241,19 +274,27 @@ def rendered(root: Node) -> list[str]:
 
 
 def grid(table_node: Node) -> list[str]:
-    """A table's caption and rows, cells padded to their columns."""
+    """A table's misplaced content, caption and rows, cells padded to their columns."""
     captions, rows, spans = [], [], {}
-    work = [k for k in reversed(table_node.kids) if isinstance(k, Node)]
+    outside = Node("div")
+    work = [(k, False) for k in reversed(table_node.kids)]
     while work:
-        node = work.pop()
-        if hidden(node):
+        node, in_row = work.pop()
+        if isinstance(node, str):
+            outside.kids.append(node)
+        elif hidden(node) or node.tag in ("col", "colgroup"):
             continue
-        if node.tag == "caption":
+        elif node.tag == "caption" and not in_row:
             captions += rendered(node)
-        elif node.tag == "tr":
+        elif node.tag in ("tbody", "thead", "tfoot") and not in_row:
+            work += [(k, False) for k in reversed(node.kids)]
+        elif node.tag == "tr" and not in_row:
             row, column = {}, 0
             for cell in node.kids:
-                if not isinstance(cell, Node) or hidden(cell):
+                if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                    outside.kids.append(cell)
+                    continue
+                if hidden(cell):
                     continue
                 while spans.get(column, 0) > 0:
                     spans[column] -= 1
@@ -265,38 +306,59 @@ def grid(table_node: Node) -> list[str]:
                 for c in range(column, column + across):
                     spans[c] = down - 1
                 column += across
-            for c in list(spans):
-                if c >= column and spans[c] > 0:
-                    spans[c] -= 1
+            for c in [c for c, left in spans.items() if c >= column and left > 0]:
+                spans[c] -= 1
+            spans = {c: left for c, left in spans.items() if left > 0}
             rows.append(row)
         else:
-            work += [k for k in reversed(node.kids) if isinstance(k, Node)]
+            outside.kids.append(node)
     width: dict[int, int] = {}
     for row in rows:
         for c, (lines, across) in row.items():
             width.setdefault(c, 0)
             if across == 1:
                 width[c] = max([width[c], *map(len, lines)])
-    out = captions
+    start, reach = {}, 0
+    for c in sorted(width):
+        start[c] = reach
+        reach += (width[c] if width[c] <= WIDEST else 0) + 2
+    before = rendered(outside)
+    out = before + captions
     for row in rows:
+        columns = sorted(row)
+        if columns == [0]:
+            out += row[0][0]
+            continue
         for i in range(max([len(lines) for lines, _ in row.values()], default=0)):
             parts, at = [], 0
-            for c in sorted(width):
-                lines = row[c][0] if c in row else []
-                want = sum(width[k] + 2 for k in width if k < c)
+            for c in columns:
+                lines = row[c][0]
                 if i < len(lines):
-                    gap = max(want - at, 2 if parts else 0)
+                    gap = max(start[c] - at, 2 if parts else 0)
                     parts.append(" " * gap + lines[i])
                     at += gap + len(lines[i])
             out.append("".join(parts).rstrip())
     return out
 
 
+def lay_out_tables(root: Node) -> None:
+    """Gives each table its lines, inner ones first."""
+    tables, work = [], [root]
+    while work:
+        node = work.pop()
+        if node.tag == "table":
+            tables.append(node)
+        work += [k for k in node.kids if isinstance(k, Node)]
+    for node in reversed(tables):  # a table comes after those around it
+        node.lines = grid(node)
+
+
 def text_of(page: str | None) -> str:
     """The visible text of a page."""
     if not page:
         return ""
     body = build(page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", ""))
+    lay_out_tables(body)
     lines = [x.replace("\xa0", " ").rstrip() for x in rendered(body)]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
@@ -309,7 +371,7 @@ def render(batches):
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep` of pages and `text`, from the column `html`."""
-    part = pages.select(*keep, F.col("html").cast("string").alias("html__"))
+    part = pages.select(*keep, F.col("html").cast("string").alias(free_name(keep, "html")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema[:-1]) + ", text string"
     return part.mapInArrow(render, fields)
 

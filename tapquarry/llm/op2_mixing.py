@@ -2,13 +2,17 @@
 
 A source's mean repetition is rate * (all bytes) * weight / (its bytes). Each document's count inverts the
 Poisson distribution at a uniform number hashed from its doc_id; means above 16 are sums of parts, each
-with its own number. Documents are exploded by their counts and put in the order of a second hash by a range
-shuffle: files in order, rows in order.
+with its own number. Documents are exploded by their counts and put in the order of a second hash: that hash is uniform, so
+its place among the partitions is arithmetic and needs no sample. Files in order, rows in order.
 
-Sources are the values of `source`, null among them. Without given weights all sources weigh alike. A source
-without bytes has the mean `rate`, and the others share the weight. Nulls: a null text has no bytes; a null doc_id
-hashes as 'null'. Rows that repeat a doc_id are each repeated as often. Columns named `copy` or
-`shuffle_key` are replaced. No rows give no rows.
+A source's mean joins its documents by a broadcast where there are at most BROADCAST sources, else over SALTS parts of each
+source, so that a source with a third of all documents is no task of its own.
+
+Sources are the values of `source`, null among them. Without given weights all sources weigh alike; weights must not be
+negative. A source without bytes has the mean `rate`, and the others share the weight. Where the weights name no source
+that has bytes, those sources have the mean 0. Nulls: a null text has no bytes; a null doc_id hashes as 'null'. Rows that
+repeat a doc_id are each repeated as often. Columns named `copy` or `shuffle_key` are replaced; others keep their
+names and values. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import free_name, partitions, stored, table
 
 SEED, RATE = "mix-1", 1.0
 PART, TERMS = 16, 90
+BROADCAST, SALTS = 100_000, 64
+KEY_BITS = 60
 
 
 def uniform(*parts):
@@ -40,6 +46,8 @@ def poisson(u, mean):
 
 def means(docs: DataFrame, weights: dict[str, float] | None, rate: float) -> DataFrame:
     """source, mean."""
+    if weights and min(weights.values()) < 0:
+        raise ValueError("a weight is negative")
     mass = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("mass"))
     given = F.lit(1.0)
     if weights is not None:
@@ -48,24 +56,33 @@ def means(docs: DataFrame, weights: dict[str, float] | None, rate: float) -> Dat
             given = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(given)
     mass = mass.withColumn("weight", F.when(F.col("mass") > 0, given).otherwise(0.0))
     total = mass.agg(F.sum("mass").cast("double").alias("total"), F.sum("weight").alias("weights"))
-    mean = F.when(F.col("mass") > 0, F.lit(rate) * F.col("total") * F.col("weight") / F.col("weights") / F.col("mass")).otherwise(F.lit(rate))
+    mean = F.when(F.col("mass") > 0, F.coalesce(F.try_divide(F.lit(rate) * F.col("total") * F.col("weight"), F.col("weights")), F.lit(0.0)) / F.col("mass")).otherwise(F.lit(rate))
     return mass.crossJoin(F.broadcast(total)).select("source", mean.alias("mean"))  # one row of totals
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, rate: float = RATE, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, rate: float = RATE, seed: str = SEED, broadcast: int = BROADCAST) -> DataFrame:
     """The rows of docs, each as often as drawn, with `copy` (from 1) and `shuffle_key`, in the order of `shuffle_key`."""
     docs = docs.drop("copy", "shuffle_key")
-    m = means(docs, weights, rate).select(F.col("source").alias("source__"), F.col("mean").alias("mean__"))
-    rows = docs.join(m, docs["source"].eqNullSafe(m["source__"])).drop("source__")
+    own = free_name(docs.columns, "own")  # all that is needed on the way, in one column
+    key, mean, salt = (free_name([*docs.columns, own], x) for x in ("source", "mean", "salt"))
+    m = stored(means(docs, weights, rate), "means").select(F.col("source").alias(key), F.col("mean").alias(mean))
+    same = docs["source"].eqNullSafe(F.col(key))
+    if m.count() <= broadcast:
+        rows = docs.join(F.broadcast(m), same).drop(key)
+    else:
+        salts = m.withColumn(salt + "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        rows = salted.join(salts, same & (F.col(salt) == F.col(salt + "m"))).drop(key, salt, salt + "m")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    parts = F.greatest(F.ceil(F.col("mean__") / PART), F.lit(1)).cast("int")
-    mean = F.col("mean__") / F.col("parts__")
-    count = F.aggregate(F.sequence(F.lit(1), F.col("parts__")), F.lit(0), lambda n, i: n + poisson(uniform(F.lit(seed), name, i.cast("string")), mean))
-    rows = rows.withColumn("parts__", parts).withColumn("count__", count).where("count__ > 0").drop("parts__", "mean__")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count__")))).drop("count__")
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = rows.withColumn("shuffle_key", key)
-    return rows.repartitionByRange(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    rows = rows.withColumn(own, F.struct(F.col(mean).alias("mean"), F.greatest(F.ceil(F.col(mean) / PART), F.lit(1)).cast("int").alias("parts"))).drop(mean)
+    count = F.aggregate(F.sequence(F.lit(1), F.col(f"{own}.parts")), F.lit(0), lambda n, i: n + poisson(uniform(F.lit(seed), name, i.cast("string")), F.col(f"{own}.mean") / F.col(f"{own}.parts")))
+    rows = rows.withColumn(own, count).where(F.col(own) > 0)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(own)))).drop(own)
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string"))), 1, KEY_BITS // 4), 16, 10).cast("long")
+    rows = rows.withColumn("shuffle_key", order)
+    n = partitions(docs.sparkSession)
+    place = F.floor(F.shiftright("shuffle_key", KEY_BITS - 30) * F.lit(n) / F.lit(1 << 30)).cast("int")
+    return rows.repartitionById(n, place).sortWithinPartitions("shuffle_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

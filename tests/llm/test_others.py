@@ -1,6 +1,7 @@
 import glob
 import hashlib
 import os
+import time
 from collections import Counter
 
 import duckdb
@@ -35,6 +36,25 @@ def test_html_odd_pages(page, text):
     assert op1_html.text_of(page) == text
 
 
+@pytest.mark.parametrize("page,lines", [("<div>" * 50_000 + "deep", 1), ("<table><tr><td>" * 5000 + "deep", 1), ("<table><tr><td>a" * 3000 + "deep", 5999), ("<p><table><tr><td>" + "<div>" * 50_000 + "x", 1), ("<ul><li>" * 20_000 + "x", 1), ("<b>" * 50_000 + "</i>" * 50_000, 1)])
+def test_html_deep_pages_take_little_time(page, lines):
+    began = time.time()
+    assert len(op1_html.text_of(page).split("\n")) == lines
+    assert time.time() - began < 4
+
+
+def test_html_content_of_a_table_outside_cells():
+    page = "<p>p</p><table>stray<tr><td>a<td>b</tr><div>box</div><tbody>more<tr>in row<td>c</table>after"
+    assert op1_html.text_of(page) == "p\n\nstray\nbox\nmorein row\na  b\nc\n\nafter"
+    assert op1_html.text_of("<table><tr><td>out<table><tr><td>in<td>x</table><td>y</table>") == "out    y\n\nin  x"
+
+
+def test_html_clashing_names_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a", "old")], "page_id long, url string, html string, html__ string")
+    assert op1_html.extract(df, ("page_id", "html__")).collect() == [(1, "old", "a")]
+    assert op1_html.extract(df.limit(0)).count() == 0
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"]) for r in op1_html.extract(df).collect()) == [(1, "a"), (1, "a"), (2, "")]
@@ -64,6 +84,41 @@ def test_sharding_splits_only_what_is_full(spark):
     assert op6_sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_sharding_of_one_hot_id(spark, monkeypatch, broadcast):
+    """A third of all rows have no id; the caller's columns have the operator's own names."""
+    monkeypatch.setattr(op6_sharding, "BROADCAST", broadcast)
+    docs = [(None if i % 3 == 0 else i, "t" * (i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'c' as cell", "'o' as own", "1 as deep", "2 as number", "3 as piece", "4 as part").repartition(5)
+    out = op6_sharding.shard(df, 1500)
+    assert out.columns == ["doc_id", "text", "cell", "own", "deep", "number", "piece", "shard", "depth", "part", "n_bytes"]
+    rows = out.collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in rows) == sorted((str(d), t) for d, t in docs) and {r["number"] for r in rows} == {2}
+    size = Counter()
+    for r in rows:
+        size[r["shard"], r["part"]] += r["n_bytes"]
+    assert max(size.values()) <= 1500
+    # no bucket could be joined with its sibling: their parent is over the limit
+    parent = Counter()
+    for r in rows:
+        for d in range(len(r["shard"]) + 1):
+            parent[r["shard"][:d]] += r["n_bytes"]
+    assert all(parent[s[:-1]] > 1500 for s, _ in size if s)
+
+
+def test_mixing_odd_weights_and_names(spark):
+    docs = [(i, "x" * 50, "en", "s", 50) for i in range(300)] + [(400 + i, "", "en", "none", 0) for i in range(200)]
+    df = spark.createDataFrame(docs, DOCS).selectExpr("*", "7 as own", "8 as mean", "9 as salt")
+    out = op2_mixing.mix_sources(df, {"absent": 1.0, "none": 2.0})
+    assert out.columns == [*df.columns, "copy", "shuffle_key"]
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert "s" not in n and 140 < n["none"] < 260
+    with pytest.raises(ValueError, match="negative"):
+        op2_mixing.mix_sources(df, {"s": -1.0})
+    by = [sorted(map(tuple, op2_mixing.mix_sources(df, broadcast=b).collect())) for b in (0, 10)]
+    assert by[0] == by[1] and {r[5:8] for r in by[0]} == {(7, 8, 9)}
+
+
 def test_fingerprints(spark):
     docs = [(3, "a b c d e f g h " * 4), (1, "the quick brown fox"), (9, ""), (12, None), (5, "ü" * 9), (5, "ü" * 9), (None, "null id")]
     got = {(r["doc_id"], r["n_chars"]): r for r in op4_weighted_sampling.fingerprints(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block")).collect()}
