@@ -5,9 +5,8 @@ induced sorting with common prefixes up to the window (`induced`); suffixes that
 neighbours, and all but the earliest are repeats. A hot anchor's contexts are dealt over shards by document;
 each shard drops its own repeats, and what is left meets by the window's 128-bit hash.
 
-Nulls: a null text is empty, a null doc_id comes before all others and is returned as null. Rows that
-repeat a doc_id are one document given again; equal strings within them are not earlier than each other.
-Other columns are ignored. No rows give no rows.
+Nulls: a null text is empty, a null doc_id comes before all others and is returned as null. Of unlike texts of one
+doc_id that of the lesser hash comes first; equal rows are one document given again and answered alike. Other columns are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ U64 = np.uint64
 WINDOW, ANCHOR = 100, 24
 #: Bytes of text that are sorted at once; anchors of a shard are taken in such lots, and one anchor with more is a lot of its own.
 #: Hot contexts are cut anywhere: their windows meet again by hash.
-LOT = 1 << 20
+LOT = 4 << 20
 WINDOW_ROW = ("u8", "u8", "i8", "u4")
 COLUMNS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -141,7 +140,7 @@ def kept_parts(ids, at, doc, lo, hi, length):
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False, hot: int = R.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `texts` also `kept`, the remaining bytes."""
-    docs = R.documents_of(docs)
+    docs, names = R.numbered(docs)
     spans = repeated_spans(docs, window, anchor, hot)
 
     def of_chunk(ids, data, at, doc, lo, hi):
@@ -160,7 +159,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, te
 
     schema = COLUMNS.append(pa.field("kept", pa.binary())) if texts else COLUMNS
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return R.finish(docs, spans, schema, ddl, of_chunk)
+    return R.named_again(R.finish(docs, spans, schema, ddl, of_chunk), names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

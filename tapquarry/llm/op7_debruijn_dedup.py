@@ -7,8 +7,8 @@ successive windows; its source coordinates are checked against the unitig's, and
 coordinates tell the first occurrence from the repeats.
 
 Words are runs of bytes other than space and 0x09-0x0D, unchanged. Nulls: a null text has no words; a null
-doc_id comes before all others and is returned as null. Rows that repeat a doc_id are one document
-given again. Other columns are ignored; no rows give no rows.
+doc_id comes before all others and is returned as null. Of unlike texts of one doc_id that of the lesser hash
+comes first; equal rows are one document given again and answered alike. Other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def normal(data, at):
 
 def debruijn_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False, hot: int = R.HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with `texts` also `kept`, the kept words joined by one space."""
-    docs = R.documents_of(docs)
+    docs, names = R.numbered(docs)
     spans, _ = spans_of(docs, window, anchor, hot)
 
     def of_chunk(ids, data, at, doc, lo, hi):
@@ -125,7 +125,7 @@ def debruijn_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     schema = COLUMNS.append(pa.field("kept", pa.binary())) if texts else COLUMNS
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * texts
-    return R.finish(docs, spans, schema, ddl, of_chunk)
+    return R.named_again(R.finish(docs, spans, schema, ddl, of_chunk), names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

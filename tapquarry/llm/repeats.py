@@ -6,15 +6,16 @@ offsets. Consecutive windows with one anchor form its context. The steps:
 1. `contexts`: each scan task keeps one context of each (anchor, content) and chunk of 256 doc_ids, the earliest,
    and sends it to the anchor's bucket. An anchor with many contents in one task (a line that a third
    of all documents hold) is marked as hot, and its contexts are dealt by content.
-2. `verdicts`: a bucket finds contexts that occur again, and anchors with several contents, and
-   answers the chunks. The rest, most of the corpus, can hold no repeated window and is done.
+2. `answer`: a bucket finds contexts that occur again, and anchors with several contents, and
+   answers the chunks. An anchor with THIN contents is hot too, though no one task saw many of them. The rest, most of the corpus, can hold no repeated window and is done.
 3. `candidates`: chunks of documents meet their answers. All copies of one content but the earliest are
    repeats; the earliest goes, with its symbols, to where windows of the same anchor meet. That is the
    operator's own part: it gives back more repeated windows.
 4. `finish`: chunks of documents meet their repeated windows.
 
 Everything is keyed by content or by chunk; no task holds a hot group, and the driver holds nothing.
-Rows that repeat a doc_id are one document given again: neither starts earlier than the other.
+Rows that repeat a doc_id (or have none) are told apart by their texts, the lesser hash first; equal rows are judged
+once and answered alike. Such tables are numbered anew, so that rows of one id fall into many chunks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_WORDS, SPACE, Rolling, buffers, concat_id, mix, partitions, slabs, sql_text, stored
+from .common import BYTE_WORDS, NULL_ID, SPACE, Rolling, buffers, concat_id, mix, partitions, slabs, sql_text, stored
 
 U64 = np.uint64
 CHUNK_BITS = 8
@@ -39,6 +40,8 @@ ENTRY = ("u8", "u8", "i8", "u4", "u1")  # anchor, content, doc, position, flags
 REPEATED, MARK, SALTED = 1, 2, 4
 ANSWER = ("u8", "u1")
 FIRST, SEVERAL, IS_HOT = 1, 2, 4
+#: Contents of one anchor in its bucket from which it is hot.
+THIN = 4096
 SPAN = ("i8", "u4", "u4")  # doc, first and last start of repeated windows
 CONTEXT = ("u8", "i8", "u4", "u4", "u1")  # anchor, doc, position, symbols, hot
 
@@ -219,6 +222,7 @@ def answer(batches):
             of_c = np.cumsum(new_c) - 1
             contents = np.zeros(of_a[-1] + 1)
             np.add.at(contents, of_a, new_c)
+            hot |= contents[of_a] >= THIN
             several = hot | (contents[of_a] > 1)
             start = np.flatnonzero(new_c)[of_c]
             first = (doc == doc[start]) & (pos == pos[start])
@@ -368,6 +372,28 @@ def documents_of(df: DataFrame) -> DataFrame:
     return df.select(concat_id().alias("doc_id"), sql_text().alias("text"))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents (doc_id, text) whose ids are unique, and what gives the rows back: number, doc_id, times. None where
+    the ids are unique as they are."""
+    docs = documents_of(df)
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+        return docs, None
+    named = docs.withColumn("hash", F.xxhash64("text"))
+    rows = named.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("times"))
+    ranged = rows.repartitionByRange(partitions(df.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    names = stored(ranged.withColumn("number", F.monotonically_increasing_id()), "names")  # grows with (doc_id, hash)
+    texts = named.groupBy("doc_id", "hash").agg(F.first("text").alias("text"))
+    return stored(texts.join(names, ["doc_id", "hash"]).select(F.col("number").alias("doc_id"), "text"), "numbered"), names.select("number", "doc_id", "times")
+
+
+def named_again(out: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Results by number as rows of the table's own ids."""
+    if names is None:
+        return out
+    back = out.withColumnRenamed("doc_id", "number").join(names, "number").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return back.select(F.when(F.col("doc_id") != F.lit(NULL_ID), F.col("doc_id")).alias("doc_id"), *out.columns[1:])
+
+
 def candidates(docs: DataFrame, units, length: int, k: int, hot: int = HOT) -> DataFrame:
     """Rows (kind, key, payload), stored: kind 0 has a chunk's repeated spans, kind 1 a shard's open contexts."""
     n = 2 * partitions(docs.sparkSession)

@@ -35,6 +35,18 @@ def test_same_as_brute_force(spark, operator, model, hot):
     assert sorted(map(tuple, operator(df, hot=hot).collect())) == model(docs)
 
 
+@pytest.mark.parametrize("operator,model", [(op3_suffix_dedup.suffix_dedup, brute.op3), (op7_debruijn_dedup.debruijn_dedup, brute.op7)])
+def test_many_rows_of_one_id(spark, monkeypatch, operator, model):
+    """Unlike rows of one id, none among them, and an anchor that is hot though no task sees it often."""
+    monkeypatch.setattr(repeats, "THIN", 2)
+    docs = [((None if d % 3 == 1 else 7 if d % 3 else d), t) for d, t in mixed(random.Random(8), "ab  cd", 60)]
+    df = spark.createDataFrame(docs + docs[:9], SCHEMA).repartition(5)
+    named = {(r["doc_id"], r["text"]): r["h"] for r in df.selectExpr("*", "xxhash64(text) as h").collect()}
+    order = sorted(set(docs), key=lambda x: (-1 if x[0] is None else x[0], named[x]))
+    judged = dict(zip(order, (x[1:] for x in model(list(enumerate(x[1] for x in order)))), strict=True))
+    assert sorted(map(str, map(tuple, operator(df).collect()))) == sorted(str((x[0], *judged[x])) for x in docs + docs[:9])
+
+
 @pytest.mark.parametrize("operator", [op3_suffix_dedup.suffix_dedup, op7_debruijn_dedup.debruijn_dedup])
 def test_empty_and_null_ids(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -67,6 +79,23 @@ def test_induced_sorting(monkeypatch, base, tmp_path):
         assert (order.tolist(), lcp.tolist()) == suffixes(t.tolist(), cap)
 
 
+def test_a_lot_larger_than_memory_goes_to_disk_and_recurses(monkeypatch, tmp_path):
+    """With the production bounds: a lot's queues go to files, and its LMS string is sorted by recursion."""
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 4, 1_200_000).astype(np.uint8)
+    text[700_000:700_400] = text[100_000:100_400]
+    text[[99_999, 100_400]], text[[699_999, 700_400]] = 0, 1
+    files, depths = [], []
+    disk, sort = induced.on_disk, induced.sort_suffixes
+    monkeypatch.setattr(induced, "on_disk", lambda x, folder: files.append(out := disk(x, folder)) or out)
+    monkeypatch.setattr(induced, "sort_suffixes", lambda t, cap=0, folder=None: depths.append(len(t)) or sort(t, cap, folder))
+    monkeypatch.setattr(op3_suffix_dedup, "sort_suffixes", induced.sort_suffixes)
+    one = lambda x, kind: np.array([x], kind)
+    (d, p), _ = op3_suffix_dedup.repeats_in(one(5, np.uint64), one(1, np.int64), one(0, np.int64), one(len(text), np.int64), one(0, np.uint8), text, 100)
+    assert sorted(p.tolist()) == list(range(700_000, 700_301)) and set(d.tolist()) == {1}
+    assert len(depths) > 1 and sum(isinstance(x, np.memmap) for x in files) > 10
+
+
 @pytest.mark.parametrize("hot,crowded,block", [(2, 2, 3), (32, 16, 512)])
 def test_near_duplicates_same_as_brute_force(spark, hot, crowded, block):
     rng, docs = random.Random(5), []
