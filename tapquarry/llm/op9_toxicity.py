@@ -2,11 +2,11 @@
 
 1. A character model (four letters deep, add-k back-off) counts every text of the corpus. Tasks send counts
    for every few MB of text; the model itself has 28^4 cells, a fixed size.
-2. Words that look disguised (leetspeak among letters, letters held down, letters set apart) become lattices:
+2. Words that look disguised (a stand-in next to a letter, letters held down or doubled twice, letters set apart), of any length, become lattices:
    each character lists the letters it may stand for. Viterbi finds the likeliest letters under the model,
    and they take the word's place.
 3. Restored texts give character 5- and 6-grams, spaces counted. Those that stand out in toxic rows
-   of a labelled sample (at most `sample` rows, by hash) are the features of a logistic regression.
+   of a labelled sample (at most `sample` rows, by hash) are all features of a logistic regression.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 3 is not 1. Nulls: a null text is
 empty; a null doc_id keeps its row, is not held out and has no label. Several labels of one row count as
@@ -35,11 +35,14 @@ BOUNDARY, OTHER = 0, 27
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c"}
 APART = b" .-_*\t"
 LEAD, TRAIL = b".,?;:\"'([", b".,!?;:\"')]"
-#: Letters of a disguised word at most; a run of letters set apart has no limit.
-LONGEST_WORD = 32
-#: Bound of the labelled sample, and of the features that are fitted.
-SAMPLE, FEATURES = 24_000, 4096
+#: Bytes of a word up to which its decoding is remembered; longer ones are decoded each time, in a time linear in their length.
+REMEMBERED = 64
+#: Bound of the labelled sample.
+SAMPLE = 24_000
+PENALTY = 0.5
 THRESHOLD = 0.7
+#: Doubled letters, separators inside a word and letters set apart from which a word is taken as disguised.
+DOUBLED, DOTS, APART_WORDS = 2, 2, 3
 
 SYMBOL = np.full(256, OTHER, np.uint8)
 SYMBOL[:128] = BOUNDARY
@@ -161,17 +164,17 @@ class Channel:
         size, n_letters, n_leet = end - start, per_word(letter), per_word(leet)
         pair = letter & (low == nxt) & ~last
         held = per_word(pair & (nxt == nxt2)) > 0
-        doubled = per_word(pair & ~np.concatenate([[False], pair[:-1]])) >= 3
+        doubled = per_word(pair & ~np.concatenate([[False], pair[:-1]])) >= DOUBLED
         dots = per_word(IS_APART[data] & before & IS_LETTER[nxt] & ~last)
-        dotted = (dots >= 3) & (2 * dots + 1 >= size - 2)
+        dotted = (dots >= DOTS) & (2 * dots + 1 >= size - 2)
         lone = (size == 1) | ((size == 2) & IS_APART[data[np.minimum(start + 1, len(data) - 1)]])
         lone &= letter[start] | leet[start]
         word_doc = np.searchsorted(offsets, start, "right")
         edge = np.flatnonzero(np.concatenate([[True], (lone[1:] != lone[:-1]) | (word_doc[1:] != word_doc[:-1]), [True]]))
-        flagged = ((per_word(hit) > 0) & (2 * n_letters >= n_leet) & (n_letters >= 2) | held | doubled) & (size <= LONGEST_WORD) | (dotted & (size <= 2 * LONGEST_WORD))
+        flagged = (per_word(hit) > 0) & (3 * n_letters >= n_leet) | held | doubled | dotted
         spans = [(int(start[i]), int(end[i])) for i in np.flatnonzero(flagged & ~lone)]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if b - a >= 4 and lone[a]:
+            if b - a >= APART_WORDS and lone[a]:
                 spans.append((int(start[a]), int(end[b - 1])))
         if not spans:
             return data, offsets
@@ -182,7 +185,7 @@ class Channel:
             inner = token.lstrip(LEAD)
             core = inner.rstrip(TRAIL)
             a += len(token) - len(inner) if core else 0
-            new = self.restored(core) if len(core) <= 2 * LONGEST_WORD else self.decode(core)
+            new = self.restored(core) if len(core) <= REMEMBERED else self.decode(core)
             out += [raw[done:a], new]
             done = a + len(core)
             cut.append((done, len(new) - len(core)))
@@ -226,7 +229,7 @@ class Features:
 
     def present(self, data, offsets):
         """(document, index) of each feature once."""
-        docs, index = [], []
+        docs, index, width = [], [], max(1, len(self.codes))
         if len(self.codes):
             for code, doc, inside in grams(*padded(data, offsets)):
                 at = np.flatnonzero(self.bits[self.slot(code)])
@@ -235,8 +238,8 @@ class Features:
                 ok = self.codes[i] == code[at]
                 docs.append(doc[at][ok])
                 index.append(i[ok])
-        pair = np.unique(np.concatenate([*docs, np.zeros(0, np.int64)]) * FEATURES + np.concatenate([*index, np.zeros(0, np.int64)]))
-        return pair // FEATURES, pair % FEATURES
+        pair = np.unique(np.concatenate([*docs, np.zeros(0, np.int64)]) * width + np.concatenate([*index, np.zeros(0, np.int64)]))
+        return pair // width, pair % width
 
 
 def restored_slabs(batch, column, channel, size=1 << 20):
@@ -272,23 +275,45 @@ def encode(batches, model, codes):
         for lo, hi, data, offsets in restored_slabs(batch, 0, channel):
             doc, index = features.present(data, offsets)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(label[lo:hi], pa.int32()), pa.array([index[a:b].astype(np.int16).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], schema=schema)
-
-
-def regression(y, docs, index, width, penalty=2.0, rounds=400):
-    """Logistic regression on presence features by accelerated gradient descent."""
-    w, v, b, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    p0 = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    b = np.log(p0 / (1 - p0))
-    heat = max(1.0, np.bincount(docs, minlength=len(y)).max(initial=1))
-    rate = 4.0 / (len(y) * heat / 8 + penalty)
+            yield pa.RecordBatch.from_arrays([pa.array(label[lo:hi], pa.int32()), pa.array([index[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], schema=schema)
+
+
+def regression(y, docs, index, width, penalty=PENALTY, rounds=12, inner=40):
+    """Logistic regression on presence features: Newton's steps, each by conjugate gradients. docs is sorted."""
+    n, x, p0 = len(y), np.zeros(width + 1), np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    x[-1] = np.log(p0 / (1 - p0))  # the last one is the bias
+    weights = np.append(np.full(width, penalty), 1e-6)
+    forth = lambda v: np.bincount(docs, weights=v[index], minlength=n) + v[-1]
+    back = lambda g: np.append(np.bincount(index, weights=g[docs], minlength=width), g.sum())
+    loss = lambda v, z: np.logaddexp(0, np.where(y > 0, -z, z)).sum() + 0.5 * (weights * v * v).sum()
+    z = forth(x)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(docs, weights=w[index], minlength=len(y)), -30, 30)))
-        g = p - y
-        v = 0.9 * v - rate * (np.bincount(index, weights=g[docs], minlength=width) + penalty * w)
-        vb = 0.9 * vb - rate * g.sum()
-        w, b = w + v, b + vb
-    return w, b
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        curve = np.maximum(p * (1 - p), 1e-9)
+        residual = -(back(p - y) + weights * x)
+        size = start = float(residual @ residual)
+        scale = back(curve) + weights  # the Hessian's diagonal, since features are 0 or 1
+        step, lead = np.zeros_like(x), residual / scale
+        fit = float(residual @ lead)
+        for _ in range(inner):
+            if size <= 1e-6 * start or fit <= 0:
+                break
+            image = back(curve * forth(lead)) + weights * lead
+            rate = fit / float(lead @ image)
+            step, residual = step + rate * lead, residual - rate * image
+            size, ahead = float(residual @ residual), residual / scale
+            fit, before = float(residual @ ahead), fit
+            lead = ahead + fit / before * lead
+        was, length = loss(x, z), 1.0
+        while length > 1e-4 and loss(x + length * step, forth(x + length * step)) > was:
+            length /= 2
+        if length <= 1e-4:
+            break
+        x = x + length * step
+        z = forth(x)
+        if was - loss(x, z) < 1e-6 * was:
+            break
+    return x[:-1], float(x[-1])
 
 
 class Model:
@@ -317,11 +342,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = rows.mapInArrow(lambda it: gram_labels(it, shared), "code long, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = (F.col("toxic") + F.col("clean")) / n
     z = (F.col("toxic") / n1 - F.col("clean") / (n - n1)) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    best = counts.where("toxic >= 3").withColumn("z", z).where("z >= 5").orderBy(F.desc("z"), "code").limit(FEATURES).select("code").toArrow()
+    best = counts.where("toxic >= 3").withColumn("z", z).where("z >= 5").select("code").toArrow()  # grams of the sample only
     codes = np.sort(np.asarray(best.column("code")).astype(np.int64).view(U64))
     coded = rows.mapInArrow(lambda it: encode(it, shared, codes), "y int, at binary").toArrow()  # at most `sample` rows
     y = np.asarray(coded.column("y")).astype(float)
-    at = [np.frombuffer(x, np.int16).astype(np.int64) for x in coded.column("at").to_pylist()]
+    at = [np.frombuffer(x, np.int32).astype(np.int64) for x in coded.column("at").to_pylist()]
     width = max(1, len(codes))
     w, b = regression(y, np.repeat(np.arange(len(y)), [len(x) for x in at]), np.concatenate([*at, np.zeros(0, np.int64)]), width)
     return Model(language, codes, w, b)

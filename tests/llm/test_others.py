@@ -240,7 +240,7 @@ def test_channel_restores_words():
             counts[tuple(s[i : i + 4])] += 1
     p = (counts + 0.01) / (counts.sum(-1, keepdims=True) + 0.28)
     channel = op9_toxicity.Channel(np.log(p).astype(np.float32))
-    for seen in (b"an 1d10t was", b"an i d i o t was", b"an idiooooot was", b"an i.d.i.o.t was", b"an !di0t was"):
+    for seen in (b"an 1d10t was", b"an i d i o t was", b"an idiooooot was", b"an i.d.i.o.t was", b"an !di0t was", b"an idi" + b"o" * 90 + b"t was", b"an " + b"river/" * 30 + b"1d1ot was", b"an 1d|0t was", b"an i.d.i.o.t was", b"an i d i o t"):
         data = np.frombuffer(seen, np.uint8)
         assert b"idiot" in channel.restore(data, np.array([0, len(data)]))[0].tobytes(), seen
 
@@ -254,6 +254,41 @@ def test_toxicity_held_out(spark):
     assert all(p == 0 for a, p in held if a == 0)
 
 
+def test_decoding_takes_linear_time():
+    channel = op9_toxicity.Channel(np.full((28,) * 4, -3.3, np.float32))
+    took = []
+    for n in (2_000, 40_000):
+        token, began = b"a1b$c3" * n, time.time()
+        channel.decode(token)
+        took.append(time.time() - began)
+    assert took[1] < 60 * took[0] + 1
+
+
+def test_regression_finds_the_least_loss():
+    rng = np.random.default_rng(4)
+    m = rng.random((300, 12)) < 0.3
+    y = (m[:, 0] | m[:, 1]).astype(float)
+    docs, index = np.nonzero(m)
+    w, b = op9_toxicity.regression(y, docs, index, 12, 1.0)
+    loss = lambda w, b: np.logaddexp(0, np.where(y > 0, -1, 1) * (m @ w + b)).sum() + 0.5 * (w * w).sum()
+    best = loss(w, b)
+    assert all(loss(w + rng.normal(0, 0.01, 12), b + rng.normal(0, 0.01)) >= best - 1e-9 for _ in range(200))
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    docs = [(i, ("vile scum " if i % 2 else "calm lake ") * 20 + f"w{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)] + [(1, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = [*docs, docs[1], docs[1], (900, "calm lake " * 100_000), (901, "v1le $cum " * 9), (None, "vile scum " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "3 as score", "'l' as label").repartition(3)
+    model = op9_toxicity.fit(df, labels)
+    got = [(r["doc_id"], r["score__"]) for r in op9_toxicity.scored(df, model).collect()]
+    assert len(got) == len(rows) and len({s for d, s in got if d == 1}) == 1
+    score = dict(got)
+    assert score[900] < 0.3 and score[901] > 0.7 and score[None] > 0.7 and score[1] > 0.7 and score[2] < 0.3
+    kept = op9_toxicity.filtered(df, model)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {900, *range(0, 400, 2)}
+
+
 def test_toxicity_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (None, "x"), (2, "")], "doc_id long, text string")
     model = op9_toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
