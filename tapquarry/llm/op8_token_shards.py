@@ -3,8 +3,9 @@
 Texts are encoded with a given vocabulary; a document's tokens and one end token are cut into sequences of
 `length`, the last padded with end tokens. Sequences are numbered by the scan's task and their place in it.
 A keyed Feistel network over the least even number of bits that holds N numbers, walked until it falls below N,
-permutes the numbers to global slots. Slots are dealt by ranges; each shard holds `per_shard` sequences of
-fixed stride (little-endian 16-bit ids), so sequence s is at byte s * stride and a reader resumes anywhere.
+permutes the numbers to global slots. Slots are dealt by ranges, whose bounds are arithmetic; each shard holds `per_shard`
+sequences of fixed stride (little-endian 16-bit ids), so sequence s is at byte s * stride and a reader resumes anywhere. A
+task writes whole shards, one after another, under another name first, so that a lost executor leaves no half shard.
 
 The encoded sequences are stored once before slots are given, so a lost executor cannot renumber them. Nulls:
 a null text has only the end token; a null doc_id is kept. Rows that repeat are sequences of their own.
@@ -15,9 +16,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as filesystems
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +120,8 @@ def materialise(docs: DataFrame, vocabulary: str | None = None, length: int = LE
     base = spark.sparkContext.broadcast(dict(zip(counts.column("task").to_pylist(), (np.cumsum(n) - n).tolist(), strict=True)))
     total = int(n.sum())
     slots = rows.mapInArrow(lambda it: give_slots(it, base, total, per_shard), "shard long, slot long, doc_id long, seq long, n_tokens long, tokens binary")
-    dealt = slots.repartitionByRange(partitions(spark), "shard").sortWithinPartitions("shard", "slot")
+    n_shards, parts = max(1, -(-total // per_shard)), partitions(spark)
+    dealt = slots.repartitionById(parts, F.floor(F.col("shard") * parts / n_shards).cast("int")).sortWithinPartitions("shard", "slot")
     return dealt.mapInArrow(lambda it: write_pieces(it, length, end, per_shard, PIECE), "shard long, first long, doc_ids array<long>, seqs array<long>, sizes array<long>, payload binary")
 
 
@@ -138,18 +142,46 @@ def sequences(pieces: DataFrame, length: int = LENGTH, per_shard: int = PER_SHAR
     return pieces.mapInArrow(lambda it: read_sequences(it, length, per_shard), "slot long, shard long, offset long, doc_id long, seq long, n_tokens long, sha256 string")
 
 
-def write_shards(pieces: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> None:
-    """Binary files shard-NNNNNNNN.bin in a folder that the driver sees; pieces come in order, one at a time.
-    A piece that a file holds already is not written again."""
-    import os
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
-    os.makedirs(folder, exist_ok=True)
-    for row in pieces.orderBy("shard", "first").toLocalIterator():
-        path, at = os.path.join(folder, f"shard-{row['shard']:08d}.bin"), (row["first"] - row["shard"] * per_shard) * 2 * length
-        if not os.path.exists(path) or os.path.getsize(path) < at + len(row["payload"]):
-            with open(path, "r+b" if os.path.exists(path) else "w+b") as f:
-                f.seek(at)
-                f.write(row["payload"])
+
+def write_shards(pieces: DataFrame, folder: str) -> DataFrame:
+    """Writes binary files shard-NNNNNNNN.bin to a folder that all executors share (a path, or a URI that Arrow's file systems
+    open), each by the task that holds its pieces. Returns shard, first (slot), n_bytes, path, stored."""
+    schema = pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("n_bytes", pa.int64()), ("path", pa.string())])
+
+    def write(batches):
+        fs, at = filesystems.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (filesystems.LocalFileSystem(), folder)
+        fs.create_dir(at, recursive=True)
+        held, out, first, size, name = None, None, 0, 0, ""
+
+        def done():
+            out.close()
+            fs.move(name, f"{at}/{shard_name(held)}")
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((held, first, size, f"{folder}/{shard_name(held)}"), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            for shard, start, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if shard != held:
+                    if out is not None:
+                        yield done()
+                    held, first, size, name = shard, start, 0, f"{at}/_{shard_name(shard)}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(name)
+                out.write(payload.as_buffer())
+                size += len(payload.as_buffer())
+        if out is not None:
+            yield done()
+
+    return stored(pieces.select("shard", "first", "payload").mapInArrow(write, "shard long, first long, n_bytes long, path string"), "shards")
+
+
+def read_slots(path: str, start: int, n: int, length: int = LENGTH) -> np.ndarray:
+    """Sequences start .. start + n of a shard, as a matrix of ids; one seek."""
+    fs, at = filesystems.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (filesystems.LocalFileSystem(), path)
+    with fs.open_input_file(at) as f:
+        f.seek(start * 2 * length)
+        return np.frombuffer(f.read(n * 2 * length), np.uint16).reshape(-1, length)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats as R
-from .common import buffers, mix, slabs, sql_text, stored, table
+from .common import buffers, free_name, mix, slabs, sql_text, stored, table
 
 U64 = np.uint64
 LETTERS, ORDER = 28, 4
@@ -352,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(language, codes, w, b)
 
 
-def score_batches(batches, model, at, drop):
+def score_batches(batches, model, at, drop, name):
     """Adds scores of the texts in column `at`; leaves that column out if `drop`."""
     m = model.value
     channel, features = Channel(m.language), Features(m.codes)
@@ -364,22 +364,23 @@ def score_batches(batches, model, at, drop):
             total = m.bias + (np.bincount(doc, weights=m.weights[index], minlength=hi - lo) if len(doc) else np.zeros(hi - lo))
             out[lo:hi] = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         keep = [i for i in range(batch.num_columns) if not (drop and i == at)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out)], names=[*(batch.schema.names[i] for i in keep), "score__"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out)], names=[*(batch.schema.names[i] for i in keep), name])
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs and `score__`."""
+def scored(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), name: str = "score__") -> DataFrame:
+    """The columns `keep` of docs and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     drop = "text" not in keep
     part = docs.select(*keep, *(["text"] if drop else [])).withColumn("text", F.col("text").cast("string"))
     at = part.columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keep) + ", score__ double"
-    return part.mapInArrow(lambda it: score_batches(it, shared, at, drop), fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema if f.name in keep) + f", {name} double"
+    return part.mapInArrow(lambda it: score_batches(it, shared, at, drop, name), fields)
 
 
 def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose texts score below the threshold, with their columns."""
-    return scored(docs, model, docs.columns).where(F.col("score__") < threshold).drop("score__")
+    name = free_name(docs.columns, "score__")
+    return scored(docs, model, docs.columns, name).where(F.col(name) < threshold).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

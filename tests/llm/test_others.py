@@ -186,7 +186,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(10, item), (11, item), (12, None), (13, "")], "item_id long, text string")
     for block in (1_000_000, 5):
         got = {r["doc_id"]: (r["contaminated"], r["item_id"], r["exact"]) for r in op5_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench, block=block).collect()}
-        assert got[1] == (True, 10, True) and got[2] == (True, 10, False) and not got[4][0] and not got[5][0] and not got[6][0]
+        assert got[1] == (True, 10, True) and got[2] == (True, 10, False) and got[3] == (True, 10, True) and not got[4][0] and not got[5][0] and not got[6][0]
     assert not op5_decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench.limit(0)).where("contaminated").count()
 
 
@@ -209,6 +209,42 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert got == {1: 10, 2: None, 3: 11, 4: 10}
 
 
+def plain_stretches(x, y, slots, need):
+    """All stretches of a run that count: tried one by one."""
+    out = set()
+    for a in range(len(x)):
+        for b in range(a + need, len(x) + 1):
+            pairs = {(p, q) for p, q, s in zip(x[a:b], y[a:b], slots[a:b], strict=True) if s}
+            consistent = len({p for p, _ in pairs}) == len(pairs) == len({q for _, q in pairs})
+            if (consistent and 2 * sum(slots[a:b]) <= b - a) or list(x[a:b]) == list(y[a:b]):
+                out.add((a, b))
+    return out
+
+
+def test_stretches_same_as_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        n, need = int(rng.integers(1, 14)), int(rng.integers(1, 6))
+        slots = rng.random(n) < 0.5
+        x, y = rng.integers(0, 4, n), rng.integers(0, 4, n)
+        y = np.where(slots & (rng.random(n) < 0.6), y, x)
+        got, want = set(op5_decontaminate.stretches(x, y, slots, need)), plain_stretches(x, y, slots, need)
+        assert got <= want and {b for _, b in got} == {b for _, b in want}
+        assert max([b - a for a, b in got], default=0) == max([b - a for a, b in want], default=0)
+
+
+def test_decontamination_of_short_items_and_odd_rows(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "blue whale"), (3, "7"), (4, "line one\nline two\nwas here")], "item_id long, text string")
+    docs = [(1, "yes"), (2, "yes or no"), (3, "Blue whale!"), (4, "blue whale song"), (5, "7"), (6, "8"), (7, "line one line two was here"), (None, "yes"), (7, ""), (7, "line one line two was here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as evidence_items", "2 as evidence", "3 as item_id")
+    for block in (1, 1_000_000):
+        got = sorted(str((r["doc_id"], r["item_id"])) for r in op5_decontaminate.decontaminate(df, bench, block=block).collect())
+        assert got == sorted(map(str, [(1, 1), (2, None), (3, 2), (4, None), (5, 3), (6, None), (7, 4), (None, 1), (7, None), (7, 4)]))
+        kept = op5_decontaminate.cleaned(df, bench, block=block)
+        assert kept.columns == df.columns and sorted(r["text"] for r in kept.collect()) == ["", "8", "blue whale song", "yes or no"]
+    assert op5_decontaminate.decontaminate(df.limit(0), bench).count() == 0
+
+
 def test_token_shards(spark, tmp_path):
     docs = [(1, "hello world " * 300), (2, ""), (3, None), (None, "x"), (3, "y")]
     pieces = op8_token_shards.materialise(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), length=64, per_shard=4)
@@ -220,10 +256,28 @@ def test_token_shards(spark, tmp_path):
         if r["doc_id"] == 1:
             part = ids[r["seq"] * 64 : r["seq"] * 64 + 64]
             assert r["sha256"] == hashlib.sha256(np.array(part + [50256] * (64 - len(part)), np.uint16).tobytes()).hexdigest()
-    op8_token_shards.write_shards(pieces, str(tmp_path / "out"), 64, 4)
+    written = {r["shard"]: r for r in op8_token_shards.write_shards(pieces, str(tmp_path / "out")).collect()}
+    assert sorted(written) == sorted({r["shard"] for r in rows}) and sorted(os.listdir(tmp_path / "out")) == [f"shard-{x:08d}.bin" for x in sorted(written)]
     for r in rows:
         data = (tmp_path / "out" / f"shard-{r['shard']:08d}.bin").read_bytes()
         assert hashlib.sha256(data[r["offset"] : r["offset"] + 128]).hexdigest() == r["sha256"]
+        here = op8_token_shards.read_slots("file://" + written[r["shard"]]["path"], r["slot"] - written[r["shard"]]["first"], 1, 64)
+        assert hashlib.sha256(here.tobytes()).hexdigest() == r["sha256"]
+
+
+def test_token_shards_of_odd_tables(spark):
+    schema = "doc_id long, text string"
+    assert op8_token_shards.sequences(op8_token_shards.materialise(spark.createDataFrame([], schema))).count() == 0
+    long_ = "word and another word, " * 60_000
+    df = spark.createDataFrame([(1, long_), (1, long_), (1, "other")], schema).selectExpr("*", "5 as slot", "6 as shard", "'t' as tokens")
+    rows = op8_token_shards.sequences(op8_token_shards.materialise(df)).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    enc = op8_token_shards.encoder(op8_token_shards.default_vocabulary())
+    ids = [*enc.encode_ordinary(long_), 50256]
+    assert sum(r["n_tokens"] for r in rows) == 2 * len(ids) + len(enc.encode_ordinary("other")) + 1
+    for r in rows[:40]:
+        if r["n_tokens"] == 512:
+            assert r["sha256"] == hashlib.sha256(np.array(ids[r["seq"] * 512 : r["seq"] * 512 + 512], np.uint16).tobytes()).hexdigest()
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
