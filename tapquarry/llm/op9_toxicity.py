@@ -6,7 +6,7 @@
    each character lists the letters it may stand for. Viterbi finds the likeliest letters under the model,
    and they take the word's place.
 3. Restored texts give character 5- and 6-grams, spaces counted. Those that stand out in toxic rows
-   of a labelled sample (at most `sample` rows, by hash) are all features of a logistic regression.
+   of a labelled sample (at most `sample` rows, by hash) are the features (at most `FEATURES`) of a logistic regression.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 3 is not 1. Nulls: a null text is
 empty; a null doc_id keeps its row, is not held out and has no label. Several labels of one row count as
@@ -37,8 +37,8 @@ APART = b" .-_*\t"
 LEAD, TRAIL = b".,?;:\"'([", b".,!?;:\"')]"
 #: Bytes of a word up to which its decoding is remembered; longer ones are decoded each time, in a time linear in their length.
 REMEMBERED = 64
-#: Bound of the labelled sample.
-SAMPLE = 24_000
+#: Bounds of the model: rows of the labelled sample, and features, those with the greatest z.
+SAMPLE, FEATURES = 24_000, 8192
 PENALTY = 0.5
 THRESHOLD = 0.7
 #: Doubled letters, separators inside a word and letters set apart from which a word is taken as disguised.
@@ -97,7 +97,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
 class Channel:
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.restored = lru_cache(200_000)(self.decode)
+        self.restored = lru_cache(50_000)(self.decode)
 
     def lattice(self, token: bytes):
         """For each place, what it may stand for: (symbols, log probability)."""
@@ -253,7 +253,7 @@ def gram_labels(batches, model):
     channel, schema = Channel(model.value), pa.schema([("code", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
     for batch in batches:
         label = np.asarray(batch.column(1)).astype(np.int64)
-        for lo, hi, data, offsets in restored_slabs(batch, 0, channel, 1 << 21):
+        for lo, hi, data, offsets in restored_slabs(batch, 0, channel):
             data, offsets = padded(data, offsets)
             for code, doc, inside in grams(data, offsets):
                 code, doc = code[inside], doc[inside]
@@ -275,10 +275,10 @@ def encode(batches, model, codes):
         for lo, hi, data, offsets in restored_slabs(batch, 0, channel):
             doc, index = features.present(data, offsets)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(label[lo:hi], pa.int32()), pa.array([index[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(label[lo:hi], pa.int32()), pa.array([index[a:b].astype(np.int16).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], schema=schema)
 
 
-def regression(y, docs, index, width, penalty=PENALTY, rounds=12, inner=40):
+def regression(y, docs, index, width, penalty=PENALTY, rounds=10, inner=12):
     """Logistic regression on presence features: Newton's steps, each by conjugate gradients. docs is sorted."""
     n, x, p0 = len(y), np.zeros(width + 1), np.clip(y.mean(), 1e-3, 1 - 1e-3)
     x[-1] = np.log(p0 / (1 - p0))  # the last one is the bias
@@ -296,7 +296,7 @@ def regression(y, docs, index, width, penalty=PENALTY, rounds=12, inner=40):
         step, lead = np.zeros_like(x), residual / scale
         fit = float(residual @ lead)
         for _ in range(inner):
-            if size <= 1e-6 * start or fit <= 0:
+            if size <= 1e-4 * start or fit <= 0:
                 break
             image = back(curve * forth(lead)) + weights * lead
             rate = fit / float(lead @ image)
@@ -311,7 +311,7 @@ def regression(y, docs, index, width, penalty=PENALTY, rounds=12, inner=40):
             break
         x = x + length * step
         z = forth(x)
-        if was - loss(x, z) < 1e-6 * was:
+        if was - loss(x, z) < 1e-3 * was:
             break
     return x[:-1], float(x[-1])
 
@@ -342,11 +342,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = rows.mapInArrow(lambda it: gram_labels(it, shared), "code long, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     share = (F.col("toxic") + F.col("clean")) / n
     z = (F.col("toxic") / n1 - F.col("clean") / (n - n1)) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    best = counts.where("toxic >= 3").withColumn("z", z).where("z >= 5").select("code").toArrow()  # grams of the sample only
+    best = counts.where("toxic >= 3").withColumn("z", z).where("z >= 5").orderBy(F.desc("z"), "code").limit(FEATURES).select("code").toArrow()
     codes = np.sort(np.asarray(best.column("code")).astype(np.int64).view(U64))
     coded = rows.mapInArrow(lambda it: encode(it, shared, codes), "y int, at binary").toArrow()  # at most `sample` rows
     y = np.asarray(coded.column("y")).astype(float)
-    at = [np.frombuffer(x, np.int32).astype(np.int64) for x in coded.column("at").to_pylist()]
+    at = [np.frombuffer(x, np.int16).astype(np.int64) for x in coded.column("at").to_pylist()]
     width = max(1, len(codes))
     w, b = regression(y, np.repeat(np.arange(len(y)), [len(x) for x in at]), np.concatenate([*at, np.zeros(0, np.int64)]), width)
     return Model(language, codes, w, b)
