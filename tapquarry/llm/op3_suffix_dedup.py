@@ -27,7 +27,7 @@ U64 = np.uint64
 WINDOW, ANCHOR = 100, 24
 #: Bytes of text that are sorted at once; anchors of a shard are taken in such lots, and one anchor with more is a lot of its own.
 #: Hot contexts are cut anywhere: their windows meet again by hash.
-LOT = 4 << 20
+LOT = 1 << 20
 WINDOW_ROW = ("u8", "u8", "i8", "u4")
 COLUMNS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
