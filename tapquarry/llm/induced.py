@@ -19,7 +19,7 @@ from .common import Rolling, mix
 
 U64 = np.uint64
 #: Above so many tuples a run goes to a file.
-IN_MEMORY = 1 << 17
+IN_MEMORY = 1 << 18
 
 
 def on_disk(x: np.ndarray, folder: str | None) -> np.ndarray:
@@ -228,7 +228,7 @@ def types(t):
 
 
 #: A reduced string of up to so many symbols is ordered in memory instead of by a further recursion.
-BASE = 1 << 17
+BASE = 1 << 18
 
 
 def packed(t, pos, stop, top):
