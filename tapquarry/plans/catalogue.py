@@ -583,5 +583,5 @@ def pcap_roundtrip(spark, d):
     folder = f"{shared(spark)}/captures-{uuid.uuid4().hex}"
     pcap.write_captures(odd_frames(spark, d), folder)
     pcap.register(spark)
-    read = spark.read.format("pcap").option("ts_source", "kernel").option("split_bytes", 20_000).load(folder)
+    read = spark.read.format("pcap").option("ts_source", "kernel").option("split_bytes", 60_000).load(folder)
     return decode.decode(read).select(F.element_at(F.split("capture_id", "/"), -1).alias("name"), "frame_no", "tap_ts_ns", "incl_len", "orig_len", "ts_source", "proto", "parse_error", "ethertype")
